@@ -142,12 +142,13 @@ def plan_containers(capacity: int, counts: dict[int, int]) -> tuple[int, list[Ru
     return p.containers, p.runs
 
 
-def _items(sizes: DataFrame, kinds: DataFrame, salts: int) -> DataFrame:
+def _items(sizes: DataFrame, caps: dict[str, int], salts: int) -> DataFrame:
     """(container_kind, doc_id, part, size, salt) of whole texts and of the parts of longer ones."""
     cap, n = F.col("capacity_tokens"), F.col("n_tokens")
     parts = F.greatest(F.ceil(n / cap).cast("bigint"), F.lit(1))
+    kinds = F.array(*[F.struct(F.lit(k).alias("container_kind"), F.lit(c).cast("bigint").alias("capacity_tokens")) for k, c in caps.items()])
     return (
-        sizes.crossJoin(F.broadcast(kinds))
+        sizes.select("doc_id", "n_tokens", F.inline(kinds))
         .withColumn("part", F.explode(F.sequence(F.lit(1).cast("bigint"), parts)))
         .select("container_kind", "doc_id", "part", F.least(cap.cast("bigint"), n - (F.col("part") - 1) * cap).alias("size"), F.pmod(F.xxhash64("doc_id", "part"), F.lit(salts)).cast("int").alias("salt"))
     )
@@ -167,8 +168,7 @@ def pack(sizes: DataFrame, kinds: DataFrame, salts: int | None = None) -> DataFr
     salts = salts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     caps = {r[0]: int(r[1]) for r in kinds.select("container_kind", "capacity_tokens").where("capacity_tokens > 0").limit(MAX_KINDS + 1).collect()}
     assert len(caps) <= MAX_KINDS
-    kinds = spark.createDataFrame(list(caps.items()), "container_kind string, capacity_tokens bigint")
-    items = _items(sizes, kinds, salts)
+    items = _items(sizes, caps, salts)
     key = ["container_kind", "size"]
     counts = Stage(items.groupBy(*key, "salt").agg(F.count("*").alias("n")), "sizes").df
     plans, index = {}, {}
