@@ -90,3 +90,19 @@ def skew_join(big: DataFrame, lookup: DataFrame, keys: list[str], n: str, total:
     assert len(hot_rows) <= HOT_SHARE
     hot = big.sparkSession.createDataFrame(hot_rows, lookup.schema).drop(n)
     return cold.unionByName(big.join(F.broadcast(hot), keys))
+
+
+def running_before(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+    """Adds the sum of value over all rows before, in the given order of distinct rows, without a single task for all.
+
+    Rows are range-partitioned and written with their partition; sums run inside partitions and over partitions.
+    """
+    from pyspark.sql import Window
+
+    part = Stage(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranged").df
+    sums = part.groupBy("_part").agg(F.sum(value).alias("_s"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    shift = sums.select("_part", F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_shift"))
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    own = F.coalesce(F.sum(value).over(inside), F.lit(0))
+    return part.withColumn("_own", own).join(F.broadcast(shift), "_part").withColumn(name, F.col("_own") + F.col("_shift")).drop("_part", "_own", "_shift")
