@@ -137,7 +137,7 @@ def means(scores: DataFrame, by: list[list[str]]) -> DataFrame:
     out = None
     every = sorted({c for g in by for c in g})
     for g in by:
-        part = scores.groupBy(*g).agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean_score"), F.round(F.median("score"), 6).alias("median_score"))
+        part = scores.groupBy(*g).agg(F.count("*").alias("n"), F.round(F.avg("score"), 4).alias("mean_score"), F.round(F.median("score"), 4).alias("median_score"))
         part = part.select(*[(F.col(c) if c in g else F.lit(None)).cast("string").alias(c) for c in every], "n", "mean_score", "median_score")
         out = part if out is None else out.unionByName(part)
     return out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators.components import connected_components
@@ -118,11 +118,12 @@ def community_stats(edges: DataFrame, members: DataFrame, names: DataFrame, top:
     rels = inner.groupBy("level", "community_id").agg(F.count("*").alias("relationship_count"))
     degree = inner.select("level", "community_id", F.explode(F.array("src", "dst")).alias("entity_id")).groupBy("level", "community_id", "entity_id").agg(F.count("*").alias("d"))
     ranked = members.join(degree, ["level", "community_id", "entity_id"], "left").na.fill(0, ["d"]).join(names, "entity_id", "left")
-    # the best few per community by a bounded aggregate: max_by with a count keeps `top` rows per group and task
-    best = ranked.groupBy("level", "community_id").agg(
-        F.count("*").alias("entity_count"),
-        F.expr(f"max_by(canonical_name, struct(d, -conv(substr(md5(entity_id), 1, 8), 16, 10) as h, entity_id), {top})").alias("top_entities"),
+    # Spark limits each group before its shuffle, so a large community sends `top` rows a task
+    w = Window.partitionBy("level", "community_id").orderBy(F.desc("d"), "entity_id")
+    first = ranked.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= top).groupBy("level", "community_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("rn", "canonical_name"))), lambda x: x["canonical_name"]).alias("top_entities")
     )
+    best = members.groupBy("level", "community_id").agg(F.count("*").alias("entity_count")).join(first, ["level", "community_id"])
     n, m = F.col("entity_count"), F.coalesce("relationship_count", F.lit(0))
     return best.join(rels, ["level", "community_id"], "left").select("level", "community_id", "entity_count", m.alias("relationship_count"), F.when(n > 1, F.round(m / (n * (n - 1) / 2), 6)).otherwise(0.0).alias("density"), F.array_join("top_entities", "; ").alias("top_entities"))
 
