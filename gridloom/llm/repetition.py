@@ -37,7 +37,7 @@ def _runs(mask: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 def repeated_shares(texts: pa.Array) -> np.ndarray:
     """The share of repeated characters of each text, over all texts of a batch at once."""
     count = len(texts)
-    words = pc.utf8_split_whitespace(pc.utf8_lower(texts))
+    words = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(pc.utf8_lower(texts)))
     offsets = words.offsets.to_numpy()
     flat = words.values.slice(offsets[0], offsets[-1] - offsets[0])
     length = pc.utf8_length(flat).to_numpy(zero_copy_only=False).astype(np.int64) + 1
