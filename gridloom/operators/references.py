@@ -101,7 +101,7 @@ def dangling_references(parents: list[Parent], refs: list[Reference], buckets: i
     distinct = materialize(rows.groupBy("target", "nk").agg(F.min("created_at").alias("oldest"), F.count("*").alias("n")).withColumn("ik", hex_key_int(F.col("nk"))), "refkeys")
     par = materialize(parent_keys(parents), "parents")
 
-    cuts = par.where("live and ik is not null").agg(F.percentile_approx(F.col("ik").cast("double"), [i / n for i in range(1, n)], 10_000)).first()[0] or []
+    cuts = par.where("live and ik is not null").agg(F.percentile_approx(F.col("ik").cast("double"), [i / n for i in range(1, n)], 10_000)).first()[0] or [0.0]  # no parents: any cut will do
     bucketizer = Bucketizer(splits=[-float("inf"), *sorted(set(cuts)), float("inf")], inputCol="dk", outputCol="bucket")
     bucket = lambda df: bucketizer.transform(df.withColumn("dk", F.col("ik").cast("double"))).drop("dk")
 
