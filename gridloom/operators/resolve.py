@@ -54,15 +54,15 @@ def near_texts(texts: DataFrame, threshold: float, block: list[str]) -> DataFram
     padded = F.concat(F.lit("\x02"), F.col("text"), F.lit("\x03"))
     grams = F.transform(F.sequence(F.lit(1), F.length(padded) - 1), lambda i: F.substring(padded, i, F.lit(2)))
     # repeated bigrams are told apart by their number, so bags are compared and not sets
-    bag = rows.select(*block, "text", F.explode(grams).alias("g")).groupBy(*block, "text", "g").agg(F.count("*").alias("k"))
-    bag = bag.select(*block, "text", F.explode(F.transform(F.sequence(F.lit(1), F.col("k").cast("int")), lambda i: F.concat("g", i.cast("string")))).alias("g"))
-    df = bag.groupBy(*block, "g").agg(F.count("*").alias("df"))
-    w = Window.partitionBy(*block, "text").orderBy("df", "g")
+    bag = rows.select(*block, "text", F.explode(grams).alias("_g")).groupBy(*block, "text", "_g").agg(F.count("*").alias("_k"))
+    bag = bag.select(*block, "text", F.explode(F.transform(F.sequence(F.lit(1), F.col("_k").cast("int")), lambda i: F.concat("_g", i.cast("string")))).alias("_g"))
+    df = bag.groupBy(*block, "_g").agg(F.count("*").alias("_df"))
+    w = Window.partitionBy(*block, "text").orderBy("_df", "_g")
     need = F.floor(2 * (F.length("text") * lost + 1e-9)) + 1
-    head = Stage(bag.join(df, [*block, "g"]).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= need).select(*block, "text", "g"), "prefix").df
+    head = Stage(bag.join(df, [*block, "_g"]).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= need).select(*block, "text", "_g"), "prefix").df
     n = F.length("right")
     fits = (F.col("left") < F.col("right")) & (2 * F.least(F.length("left"), n) >= t * (F.length("left") + n))
-    pairs = head.withColumnRenamed("text", "left").join(head.withColumnRenamed("text", "right"), [*block, "g"]).where(fits).select(*block, "left", "right").distinct()
+    pairs = head.withColumnRenamed("text", "left").join(head.withColumnRenamed("text", "right"), [*block, "_g"]).where(fits).select(*block, "left", "right").distinct()
     return pairs.withColumn("score", ratio(F.col("left"), F.col("right"))).where(F.col("score") >= threshold)
 
 

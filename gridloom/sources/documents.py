@@ -156,8 +156,8 @@ def read_extractions(spark: SparkSession, path: str) -> DataFrame:
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """(document, text) of .txt and .md files as they are, and of .json files with a `pages` list of strings or objects."""
-    plain = spark.read.option("wholetext", True).option("pathGlobFilter", "*.{txt,md}").text(path).select(F.input_file_name().alias("file"), F.col("value").alias("text"))
-    raw = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(path).select(F.input_file_name().alias("file"), "value")
+    plain = spark.read.option("pathGlobFilter", "*.{txt,md}").text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("text"))
+    raw = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
     strings = F.from_json(F.get_json_object("value", "$.pages"), "array<string>")
     objects = F.from_json(F.get_json_object("value", "$.pages"), "array<struct<text string, content string>>")
     page = F.transform(objects, lambda p: F.coalesce(F.nullif(p["text"], F.lit("")), p["content"], F.lit("")))
