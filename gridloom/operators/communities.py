@@ -168,3 +168,15 @@ def build_levels(nodes: DataFrame, edges: DataFrame, gammas: dict[str, float], s
         part = detect(nodes, edges, gammas[level], seed).select(F.col("node_id").alias("entity_id"), F.lit(level).alias("level"), F.lit(gammas[level]).alias("resolution"), "community")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def summaries(stats: DataFrame, ask, cache: str) -> DataFrame:
+    """(community_key, summary) of stats(level, community_id, entity_count, relationship_count, density, top_entities).
+
+    ask gets a frame with the column `prompt` and returns one text per row; replies are kept by prompt in the cache.
+    """
+    from gridloom.sources.sinks import cached_replies
+
+    prompt = F.format_string("Summarise community %s of level %s: %d entities, %d relationships, density %s, led by %s.", F.col("community_id").cast("string"), "level", "entity_count", "relationship_count", F.col("density").cast("string"), "top_entities")
+    asked = stats.select(F.concat_ws("_", "level", F.col("community_id").cast("string")).alias("community_key"), prompt.alias("prompt"))
+    return cached_replies(asked, ["prompt"], cache, ask).select("community_key", F.col("reply").alias("summary"))

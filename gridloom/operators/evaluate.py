@@ -169,3 +169,16 @@ def render_context(edges: DataFrame, citations: DataFrame) -> DataFrame:
     e = edges.select(F.lit("relationship").alias("kind"), F.concat_ws(" ", "from_name", F.concat(F.lit("-["), "relationship_type", F.lit("]->")), "to_name").alias("line"))
     c = citations.select(F.lit("source").alias("kind"), F.concat_ws(" ", "document_name", F.concat(F.lit("(pages "), F.array_join("pages", ", "), F.lit(")"))).alias("line"))
     return e.unionByName(c).distinct()
+
+
+def relation_facts(edges: DataFrame) -> DataFrame:
+    """(a, b, relationship_type, documents): one fact per unordered pair and type with its documents, sorted."""
+    pair = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "relationship_type", "source_doc")
+    return pair.groupBy("a", "b", "relationship_type").agg(F.array_sort(F.collect_set("source_doc")).alias("documents"))
+
+
+def fact_support(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, documents): documents that state any relationship between the two of each pair, in either direction."""
+    wanted = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    facts = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "source_doc").distinct()
+    return wanted.join(facts, ["a", "b"], "left").groupBy("a", "b").agg(F.array_sort(F.collect_set("source_doc")).alias("documents"))

@@ -433,3 +433,17 @@ def model_resolve(mentions: DataFrame, ask, size: int = 30, rounds: int = 3) ->
         clusters = clusters_of(links)
         active = Stage(mentions.join(clusters, "node_id", "left").where("cluster_id is null or node_id = cluster_id").drop("cluster_id"), "active").df
     return clusters_of(links)
+
+
+def merge_groups(groups: DataFrame) -> DataFrame:
+    """(group_no, node_id, reasoning): overlapping groups(group_id, node_id, reasoning) as one, with the first group's reasoning.
+
+    Groups of one member say nothing. Results are numbered from 1 in order of their smallest member.
+    """
+    from gridloom.session import running_before
+
+    real = groups.join(groups.groupBy("group_id").agg(F.countDistinct("node_id").alias("n")).where("n > 1").select("group_id"), "group_id", "left_semi")
+    clusters = clusters_of(star_links(real.select("group_id", "node_id").distinct(), ["group_id"], "node_id"))
+    why = real.join(clusters, "node_id").groupBy("cluster_id").agg(F.min_by("reasoning", "group_id").alias("reasoning"))
+    numbered = running_before(why.withColumn("one", F.lit(1)), ["cluster_id"], "one", "before")
+    return clusters.join(numbered, "cluster_id").select((F.col("before") + 1).alias("group_no"), "node_id", "reasoning")

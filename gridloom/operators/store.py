@@ -168,3 +168,29 @@ def cross_community(rels: DataFrame, members: DataFrame, level: str) -> DataFram
     a = m.select(F.col("entity_id").alias("from_entity_id"), F.col("community_id").alias("from_community"))
     b = m.select(F.col("entity_id").alias("to_entity_id"), F.col("community_id").alias("to_community"))
     return rels.join(a, "from_entity_id").join(b, "to_entity_id").where("from_community <> to_community").select("relationship_id", "relationship_type", "from_community", "to_community")
+
+
+#: The store's tables and their columns.
+SCHEMAS = {
+    "documents": "document_id STRING NOT NULL, document_name STRING, file_path STRING, access_tags ARRAY<STRING>",
+    "entities": "unique_entity_id STRING NOT NULL, entity_type STRING, canonical_name STRING, name_variants ARRAY<STRING>, cluster_size INT, attributes STRING, merge_reasoning STRING",
+    "relationships": "relationship_id STRING NOT NULL, relationship_type STRING, from_entity_id STRING, to_entity_id STRING, attributes STRING, access_policy STRING",
+    "entity_occurrences": "entity_id STRING NOT NULL, document_id STRING NOT NULL, page_numbers ARRAY<INT>",
+    "relationship_occurrences": "relationship_id STRING NOT NULL, document_id STRING NOT NULL, page_numbers ARRAY<INT>",
+    "communities": "entity_id STRING NOT NULL, level STRING NOT NULL, resolution DOUBLE, community STRING",
+    "community_summaries": "community_key STRING NOT NULL, level STRING, community_id STRING, summary STRING, entity_count BIGINT, relationship_count BIGINT, density DOUBLE",
+}
+
+
+def create_tables(spark: SparkSession, database: str) -> None:
+    """The empty tables of a store as parquet tables of a database; what exists stays."""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+    for name, columns in SCHEMAS.items():
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.{name} ({columns}) USING parquet")
+
+
+def summary_of_entity(entity_communities: DataFrame, summaries: DataFrame, level: str) -> DataFrame:
+    """(entity_id, summary): the summary of each entity's community at a level."""
+    m = entity_communities.where(F.col("level") == level).select("entity_id", "level", F.col("community_id").cast("string").alias("community_id"))
+    s = summaries.select("level", F.col("community_id").cast("string").alias("community_id"), "summary")
+    return m.join(s, ["level", "community_id"]).select("entity_id", "summary")

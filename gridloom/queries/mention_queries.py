@@ -105,6 +105,16 @@ def chunk_remap(spark, d):
     return out.select("doc", "chunk", "from_id_new", "to_id_new")
 
 
+def fact_support(spark, d):
+    """The documents behind every pair of neighbouring mentions of one name and type."""
+    from gridloom.operators.evaluate import relation_facts
+
+    nodes, edges = _graph(spark, d)
+    reps = M.representatives(nodes, _clusters(nodes))
+    facts = relation_facts(M.merge_edges(edges, reps).select("src", "dst", "relationship_type", F.explode("source_docs").alias("source_doc")))
+    return facts.select("a", "b", F.size("documents").cast("bigint").alias("n_docs"))
+
+
 _NODES = r"""
 WITH o AS (SELECT *, regexp_extract(node_id, '^node_\d+_(.*)$', 1) AS id, regexp_extract(node_id, '_([A-Z]+)_\d+$', 1) AS type, row_number() OVER (ORDER BY document, occurrence_id) AS ord FROM occurrences),
 n AS (SELECT 'node_' || ord || '_' || id AS node_id, ord, id, type, document, occurrence_id, trim(surface) AS name, page FROM o),
@@ -117,7 +127,7 @@ m AS (SELECT n.*, coalesce(g.cluster_id, n.node_id) AS cluster FROM n LEFT JOIN
 rep AS (SELECT *, first_value(node_id) OVER (PARTITION BY cluster ORDER BY ord) AS rep FROM m)
 """
 
-QUERIES = {f.__name__: f for f in (mention_build, edge_collapse, cluster_merge_nodes, cluster_merge_edges, method_report, graph_stats, graph_convert, page_fallback, reserved_keys, chunk_remap)}
+QUERIES = {f.__name__: f for f in (mention_build, edge_collapse, cluster_merge_nodes, cluster_merge_edges, method_report, graph_stats, graph_convert, page_fallback, reserved_keys, chunk_remap, fact_support)}
 SQL = {
     "mention_build": _NODES + "SELECT node_id, type, document AS source_doc, coalesce(page::VARCHAR, '') AS pages, 'mention' AS attr_type FROM n",
     "edge_collapse": _NODES + "SELECT src, dst, 'NEXT' AS relationship_type, 'x' AS attr_source_doc FROM e",
@@ -126,6 +136,8 @@ SQL = {
        count(DISTINCT document) AS n_docs FROM rep GROUP BY rep""",
     "cluster_merge_edges": _NODES + """SELECT a.rep AS src, b.rep AS dst, 'NEXT' AS relationship_type, count(DISTINCT e.document) AS n_docs
        FROM e JOIN rep a ON a.node_id = e.src JOIN rep b ON b.node_id = e.dst WHERE a.rep <> b.rep GROUP BY ALL""",
+    "fact_support": _NODES + """SELECT least(a.rep, b.rep) AS a, greatest(a.rep, b.rep) AS b, count(DISTINCT e.document) AS n_docs
+       FROM e JOIN rep a ON a.node_id = e.src JOIN rep b ON b.node_id = e.dst WHERE a.rep <> b.rep GROUP BY ALL""",
     "method_report": _NODES + """SELECT count(DISTINCT cluster) FILTER (cluster_n > 1) AS clusters_found, count(*) AS nodes_before, count(DISTINCT rep) AS nodes_after,
        round(100.0 * (count(*) - count(DISTINCT rep)) / count(*), 4) AS reduction_pct FROM (SELECT *, count(*) OVER (PARTITION BY cluster) AS cluster_n FROM rep)""",
     "page_fallback": r"""SELECT load_seq, CASE WHEN regexp_full_match(trim(page_numbers), '\d+') THEN trim(page_numbers) WHEN regexp_full_match(page_numbers, '\[\d+(, \d+)*\]') THEN replace(trim(page_numbers, '[]'), ' ', '') ELSE '1' END AS pages FROM entity_occurrences""",

@@ -123,6 +123,13 @@ def connected_components(spark, d):
     return cc(p, "node_id_l", "node_id_r")
 
 
+def merge_groups(spark, d):
+    """Match pairs as overlapping groups of two."""
+    p = table(spark, d, "match_pairs").where("match_probability >= 0.9")
+    g = p.select(F.format_string("%08d", "pair_id").alias("group_id"), F.explode(F.array("node_id_l", "node_id_r")).alias("node_id"), F.concat(F.lit("pair "), F.col("pair_id").cast("string")).alias("reasoning"))
+    return resolve.merge_groups(g)
+
+
 def _closure(edges: str, nodes: str) -> str:
     """Components of a links CTE (a, b) as further CTEs; ends in (node_id, cluster_id)."""
     return f""", s AS (SELECT a, b FROM {edges} UNION SELECT b, a FROM {edges}),
@@ -137,7 +144,7 @@ _REC = _RECURSIVE_STORE + """, e AS (SELECT unique_entity_id AS node_id, entity_
 
 QUERIES = {f.__name__: f for f in (
     exact_clusters, exact_clusters_by_type, fuzzy_pairs, fuzzy_clusters, fuzzy_baseline, closure_pairs, closure_clusters, topological_clusters, name_jaccard_clusters,
-    jaro_winkler_pairs, indel_ratios, fs_pattern_counts, fs_matches, semantic_pairs, semantic_clusters, connected_components)}
+    jaro_winkler_pairs, indel_ratios, fs_pattern_counts, fs_matches, semantic_pairs, semantic_clusters, connected_components, merge_groups)}
 SQL = {
     "exact_clusters": _SURF + " SELECT node_id, min(node_id) OVER (PARTITION BY norm) AS cluster_id FROM m WHERE norm <> '' QUALIFY count(*) OVER (PARTITION BY norm) > 1",
     "exact_clusters_by_type": _SURF + " SELECT node_id, min(node_id) OVER (PARTITION BY norm, type) AS cluster_id FROM m WHERE norm <> '' QUALIFY count(*) OVER (PARTITION BY norm, type) > 1",
@@ -152,6 +159,10 @@ SQL = {
  n AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.x, b.x) AS s, row_number() OVER (PARTITION BY a.id ORDER BY list_cosine_similarity(a.x, b.x) DESC, b.id) AS k FROM v a CROSS JOIN v b)
  SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b, round(s, 4) AS score FROM n WHERE k <= 20 AND s >= 0.5 AND a <> b""",
     "connected_components": "WITH RECURSIVE l AS (SELECT DISTINCT node_id_l AS a, node_id_r AS b FROM match_pairs WHERE match_probability >= 0.9 AND node_id_l <> node_id_r)" + _closure("l", "component").replace("SELECT node_id,", "SELECT node_id AS node,"),
+    "merge_groups": "WITH RECURSIVE l AS (SELECT DISTINCT node_id_l AS a, node_id_r AS b FROM match_pairs WHERE match_probability >= 0.9 AND node_id_l <> node_id_r)"
+    + _closure("l", "c").replace(" SELECT node_id, min(x) AS c FROM reach GROUP BY node_id HAVING count(*) > 1", """, c AS (SELECT node_id, min(x) AS c FROM reach GROUP BY node_id),
+      w AS (SELECT c, min(pair_id) AS p FROM match_pairs JOIN c ON node_id = node_id_l WHERE match_probability >= 0.9 AND node_id_l <> node_id_r GROUP BY c)
+      SELECT dense_rank() OVER (ORDER BY c) AS group_no, node_id, 'pair ' || p AS reasoning FROM c JOIN w USING (c)"""),
     "fs_pattern_counts": _RECURSIVE_STORE + """, e AS (SELECT unique_entity_id AS node_id, entity_type AS type, lower(coalesce(canonical_name, '')) AS name,
    CASE WHEN json_valid(attributes) THEN coalesce(json_extract_string(attributes, '$.role'), '') ELSE '' END AS role, CASE WHEN json_valid(attributes) THEN json_extract_string(attributes, '$.din') END AS din FROM ents),
  p AS (SELECT a.name AS x, b.name AS y, a.role AS p, b.role AS q, coalesce(a.din, '') AS d, coalesce(b.din, '') AS f FROM e a JOIN e b ON a.node_id < b.node_id AND ((a.type = b.type AND a.name[1:4] = b.name[1:4]) OR a.din = b.din)),
