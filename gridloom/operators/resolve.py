@@ -62,7 +62,12 @@ def near_texts(texts: DataFrame, threshold: float, block: list[str]) -> DataFram
     head = Stage(bag.join(df, [*block, "_g"]).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= need).select(*block, "text", "_g"), "prefix").df
     n = F.length("right")
     fits = (F.col("left") < F.col("right")) & (2 * F.least(F.length("left"), n) >= t * (F.length("left") + n))
+    # a fixed number of partitions: the rows are few bytes but many pairs, so merging small partitions would cost
+    parts = 2 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    head = head.repartition(parts, *block, "_g")
     pairs = head.withColumnRenamed("text", "left").join(head.withColumnRenamed("text", "right"), [*block, "_g"]).where(fits).select(*block, "left", "right").distinct()
+    # substitutions cost two in the ratio and one in Levenshtein distance, which Spark computes natively
+    pairs = pairs.where(F.levenshtein("left", "right") <= (1 - t) * (F.length("left") + n) + 1e-9)
     return pairs.withColumn("score", ratio(F.col("left"), F.col("right"))).where(F.col("score") >= threshold)
 
 
