@@ -64,7 +64,21 @@ hit AS (
 """
 
 QUERIES = {"p3_found": p3_found, "p3_report": p3_report, "p7_found": p7_found, "p7_wide_entities": _wide("entities"), "p7_wide_relationships": _wide("relationships")}
+_CELLS = r"""
+WITH b AS (SELECT 'entities' AS owner_table, load_seq, attributes AS j FROM entities UNION ALL SELECT 'relationships', load_seq, attributes FROM relationships),
+k AS (SELECT owner_table, load_seq, j, unnest(json_keys(j)) AS attr_name FROM b WHERE json_valid(j) AND json_type(j) = 'OBJECT'),
+v AS (SELECT k.owner_table, load_seq, k.attr_name, value_type, json_extract_string(j, '$."' || k.attr_name || '"') AS raw
+  FROM k JOIN attribute_catalog c ON c.owner_table = k.owner_table AND c.attr_name = k.attr_name WHERE value_type <> 'text'),
+n AS (SELECT *, lower(trim(raw)) AS t, regexp_replace(regexp_replace(lower(trim(raw)), '^(inr|rs\.?|₹)\s*', ''), '\s*/-$', '') AS n FROM v WHERE raw IS NOT NULL AND trim(raw) <> '')
+SELECT owner_table, load_seq, attr_name FROM n WHERE NOT coalesce(CASE value_type
+  WHEN 'bigint' THEN regexp_full_match(n, '[+-]?(\d+|\d{1,3}(,\d{3})+|\d{1,2}(,\d{2})*,\d{3})(\.0*)?')
+  WHEN 'double' THEN regexp_full_match(regexp_replace(n, '\s*(%|per cent)$', ''), '[+-]?(\d+|\d{1,3}(,\d{3})+)(\.\d*)?')
+  WHEN 'boolean' THEN t IN ('true', 'false', 'yes', 'no', 'y', 'n', '1', '0', 't', 'f')
+  WHEN 'date' THEN try_strptime(t, ['%Y-%m-%d', '%Y-%m-%dt%H:%M:%S', '%d/%m/%Y', '%m/%d/%Y', '%d.%m.%Y', '%d-%b-%Y', '%d %B %Y', '%B %d, %Y']) IS NOT NULL END, false)
+""".replace("\\\\", "\\")
+
 SQL = {
+    "p7_found": _CELLS,
     "p3_found": _REFS + "SELECT ref_table, ref_field, load_seq FROM hit WHERE reason IS NOT NULL",
     "p3_report": _REFS + "SELECT ref_table, ref_field, strftime(created_at, '%Y-%m') AS month, reason, count(*) AS n_refs FROM hit WHERE reason IS NOT NULL GROUP BY ALL",
 }
