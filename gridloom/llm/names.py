@@ -8,13 +8,17 @@ rewriting it shares and by how the remaining words agree. A surface is linked to
 where that is good enough and clearly better than the next.
 
 Which words are generic (given names, trades) is counted over all entity names: those in at least GENERIC_SHARE of
-the entities, so at most a few thousand, which is what makes the list fit for broadcast. A form shared by more than
-COMMON entities says too little and is replaced by its forms together with a given name, trade or initial; a bare
-core shared by so many entities is a tie between them and would not be linked anyway.
+the entities, so at most a few thousand, which is what makes the list fit for broadcast. A name of generic words only
+(a rare word that many entities share is one) meets others of its kind in the form of the empty core.
 
-Defined results: null and blank surfaces, surfaces without a rare word that are no recorded alias, and ties are not
-linked; repeated rows are linked each; names are compared whole, however long; empty tables give an empty result;
-other columns are ignored.
+No form is left out for being common. Entities that agree in all that the score looks at (words, legal form, kind) are
+one shape, of which two entities stand for all: that keeps the best and the next score. A form of more than COMMON
+shapes is joined together with a word of the name, exactly: a surface of n words that may leave `u` of them without a
+counterpart and still reach LEAST_SCORE shares one of its u + 1 rarest words (in full or by initial) with the entity, or
+the entity has no words; for a surface without words only the number of the entity's words counts.
+
+Defined results: null and blank surfaces and ties are not linked; repeated rows are linked each; names are compared
+whole, however long; empty tables give an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from collections import defaultdict
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -210,7 +214,9 @@ def agreement(words: list[str], legal: str, other: list[str], other_legal: str,
 
 
 _SEP = "\x1f"
-_BASE = {0: 10.0, 1: 10.0, 2: 5.0, 3: 4.0}
+_BASE = {0: 10.0, 1: 10.0, 2: 5.0, 3: 4.0, 4: 0.0}
+#: The form of the names without a rare part.
+_NO_CORE = "4"
 
 
 def generic_words(names: DataFrame) -> list[str]:
@@ -235,7 +241,7 @@ def parsed(names: DataFrame, id_cols: list[str], generic: list[str], with_forms:
                 out[c] = [r[c] for r in rows]
             out["words"] = [_SEP.join(r["words"]) for r in rows]
             out["wide_words"] = [_SEP.join(r["wide_words"]) for r in rows]
-            out["forms"] = [["0" + r["whole"], *forms(r["core"], r["words"]), *("w" + f for f in forms(r["wide_core"], r["wide_words"]))] if with_forms else [] for r in rows]
+            out["forms"] = [["0" + r["whole"], *forms(r["core"], r["words"]), *([_NO_CORE] if r["words"] and not r["core"] else []), *("w" + f for f in forms(r["wide_core"], r["wide_words"]))] if with_forms else [] for r in rows]
             yield out
 
     return names.select(*id_cols, "name").mapInPandas(run, schema)
@@ -247,6 +253,52 @@ def _agree(words: pd.Series, legal: pd.Series, other: pd.Series, other_legal: pd
     return pd.Series(np.array([agreement(cut(a), b, cut(c), d, e) for a, b, c, d, e in zip(words, legal, other, other_legal, organisation, strict=True)], float))
 
 
+def _words(words: Column) -> Column:
+    return F.when(words == "", F.array().cast("array<string>")).otherwise(F.split(words, _SEP))
+
+
+def _first(words: Column | str, lead: str) -> Column:
+    return F.concat(F.lit(lead), F.substring(words, 1, 1))
+
+
+def _word_keys(w: Column) -> Column:
+    """The keys by which a surface's word meets every word that `agreement` counts as its counterpart."""
+    alternatives = F.split(w, r"\|")
+    full = F.concat(F.array(F.concat(F.lit("="), w)), F.transform(alternatives, lambda a: F.concat(F.lit("="), a)), F.transform(alternatives, lambda a: _first(a, "i")))
+    return F.array_distinct(F.when(F.endswith(w, F.lit(".")), F.array(F.concat(F.lit("="), w), _first(w, "f"))).otherwise(full))
+
+
+def _shape_keys(words: Column) -> Column:
+    """The keys of an entity's words; one empty key where it has none."""
+    of = lambda y: F.array(F.concat(F.lit("="), y), F.when(F.endswith(y, F.lit(".")), _first(y, "i")).otherwise(_first(y, "f")))
+    return F.when(words == "", F.array(F.lit(""))).otherwise(F.array_distinct(F.flatten(F.transform(_words(words), of))))
+
+
+_SHAPE = ["their_words", "their_legal", "organisation"]
+
+
+def _met_in_common_forms(theirs: DataFrame, held: DataFrame) -> DataFrame:
+    """(surface, wide, form, df, shape, low, high) of the pairs in common forms that can reach LEAST_SCORE.
+
+    theirs(surface, wide, used, form), held(form, df, shape, low, high).
+    """
+    base = F.create_map(*[F.lit(x) for kv in _BASE.items() for x in kv])[F.substring("form", 1, 1).cast("int")]
+    out = ["surface", "wide", "form", "df", *_SHAPE, "low", "high"]
+    alone = held.groupBy("form", "df", F.size(_words(F.col("their_words"))).alias("n"), "their_legal", "organisation").agg(F.min("their_words").alias("their_words"), F.min("low").alias("low"), F.max("high").alias("high"))
+    bare = theirs.where("used = ''").join(alone, "form").select(out)
+
+    keyed = held.withColumn("key", F.explode(_shape_keys(F.col("their_words"))))
+    often = keyed.groupBy("form", "key").agg(F.count("*").alias("often"))
+    word = theirs.where("used <> ''").withColumn("n", F.size(_words(F.col("used")))).withColumn("spare", F.floor((base + 1 - LEAST_SCORE + 3 * F.col("n")) / 11))
+    word = word.select("surface", "wide", "form", "spare", F.posexplode(_words(F.col("used"))).alias("at", "w")).withColumn("key", F.explode(_word_keys(F.col("w"))))
+    word = Stage(word.join(often, ["form", "key"], "left").drop("w"), "words").df
+    rank = Window.partitionBy("surface", "wide", "form").orderBy("often", "at")
+    rarest = word.groupBy("surface", "wide", "form", "spare", "at").agg(F.coalesce(F.sum("often"), F.lit(0)).alias("often")).withColumn("rn", F.row_number().over(rank)).where("rn <= spare + 1")
+    asked = word.where("often is not null").join(rarest.select("surface", "wide", "form", "at"), ["surface", "wide", "form", "at"], "left_semi").select("surface", "wide", "form", "key")
+    asked = asked.unionByName(theirs.where("used <> ''").select("surface", "wide", "form", F.lit("").alias("key"))).distinct()
+    return bare.unionByName(asked.join(keyed, ["form", "key"]).select(out))
+
+
 def link_surfaces(surfaces: DataFrame, names: DataFrame) -> DataFrame:
     """(surface, entity, score) for the surfaces that name one entity.
 
@@ -255,20 +307,27 @@ def link_surfaces(surfaces: DataFrame, names: DataFrame) -> DataFrame:
     generic = generic_words(names.where("canonical"))
     named = names.where("name is not null").groupBy("entity", "name").agg(F.max("canonical").alias("canonical"), F.max("organisation").alias("organisation"))
     known = Stage(parsed(named, ["entity", "canonical", "organisation"], generic, True), "names").df
-    own = known.select("entity", "canonical", F.explode("forms").alias("form")).where("not startswith(form, 'w') and (canonical or startswith(form, '0'))")
-    own = own.groupBy("form", "entity").agg(F.lit(1)).drop("1").select("form", "entity")
-    rare = own.groupBy("form").agg(F.count("*").alias("df")).where(F.col("df") <= COMMON)
-    own = own.join(rare, "form")
+    own = known.select("entity", "canonical", F.explode("forms").alias("form")).where("not startswith(form, 'w') and (canonical or startswith(form, '0'))").select("form", "entity").distinct()
+    canon = known.where("canonical").select("entity", F.col("words").alias("their_words"), F.col("legal").alias("their_legal"), "organisation").distinct()
+    own = Stage(own.join(canon, "entity"), "own").df
+    entities_of = own.select("form", "entity").distinct().groupBy("form").agg(F.count("*").alias("df"))
+    shapes = own.groupBy("form", *_SHAPE).agg(F.min("entity").alias("low"), F.max("entity").alias("high"))
+    common = shapes.groupBy("form").agg(F.count("*").alias("n")).where(F.col("n") > COMMON).select("form", F.lit(True).alias("common"))
+    held = Stage(shapes.join(entities_of, "form").join(common, "form", "left").withColumn("common", F.coalesce("common", F.lit(False))), "shapes").df
 
     asked = Stage(parsed(surfaces.select("surface", F.col("surface").alias("name")), ["surface"], generic, True), "surfaces").df
     wide = F.startswith("f", F.lit("w"))
-    theirs = asked.select("surface", F.explode("forms").alias("f")).select("surface", wide.alias("wide"), F.when(wide, F.expr("substr(f, 2)")).otherwise(F.col("f")).alias("form"))
-    met = theirs.join(own, "form").withColumn("level", F.substring("form", 1, 1).cast("int"))
-    base = F.create_map(*[F.lit(x) for kv in _BASE.items() for x in kv])[F.col("level")] - 0.01 * F.log2("df")
-    met = met.groupBy("surface", "entity", "wide").agg(F.max(base).alias("base"))
-
-    canon = known.where("canonical").select("entity", F.col("words").alias("their_words"), F.col("legal").alias("their_legal"), "organisation").distinct()
-    pairs = met.join(canon, "entity").join(asked.select("surface", "words", "wide_words", "legal"), "surface")
+    theirs = asked.select("surface", "words", "wide_words", F.explode("forms").alias("f"))
+    theirs = theirs.select("surface", wide.alias("wide"), F.when(wide, F.col("wide_words")).otherwise(F.col("words")).alias("used"), F.when(wide, F.expr("substr(f, 2)")).otherwise(F.col("f")).alias("form"))
+    met = theirs.drop("used").join(held.where("not common").drop("common"), "form").select("surface", "wide", "form", "df", *_SHAPE, "low", "high")
+    hot = held.where("common").drop("common")
+    if hot.limit(1).count():
+        in_common = Stage(theirs.join(hot.select("form").distinct(), "form", "left_semi"), "common").df
+        met = met.unionByName(_met_in_common_forms(in_common, hot))
+    base = F.create_map(*[F.lit(x) for kv in _BASE.items() for x in kv])[F.substring("form", 1, 1).cast("int")] - 0.01 * F.log2("df")
+    met = met.withColumn("entity", F.explode(F.array_distinct(F.array("low", "high")))).groupBy("surface", "entity", "wide", *_SHAPE).agg(F.max(base).alias("base"))
+
+    pairs = met.join(asked.select("surface", "words", "wide_words", "legal"), "surface")
     used = F.when(F.col("wide"), F.col("wide_words")).otherwise(F.col("words"))
     scored = pairs.withColumn("score", F.col("base") + _agree(used, "legal", "their_words", "their_legal", "organisation"))
     best = scored.groupBy("surface", "entity").agg(F.max("score").alias("score")).where(F.col("score") >= LEAST_SCORE)

@@ -74,3 +74,32 @@ def test_resolved_mentions_are_found_again(spark, sf):
     gold = spark.read.parquet(f"{d}/occurrences.parquet").where("entity_id is not null and surface is not null and entity_id <> '0621602ab930f272'")
     out = gold.join(link_mentions(gold, known, "occurrence_id", "surface"), "occurrence_id", "left").selectExpr("count(*) n", "sum(int(entity = entity_id)) right", "sum(int(entity <> entity_id)) wrong").first()
     assert out.right >= 0.97 * out.n and out.wrong <= 0.01 * out.n
+
+
+def shared_core(core):
+    """Every pair of 18 given names before one surname, and enough others to keep the surname's share at any level."""
+    first = ["Robert", "Kamala", "Asha", "Chetan", "Divya", "Esha", "Farid", "Girish", "Harish", "Indira", "Lalit", "Mohan", "Nitin", "Omkar", "Pooja", "Suresh", "Tarun", "Umesh"]
+    return [(f"h{i}_{j}", "Person", f"{a} {b} {core}", None, None, "x") for i, a in enumerate(first) for j, b in enumerate(first) if i < j]
+
+
+COMMON_ASKED = ["Bob Kamala Patel", "R. K. Patel", "Robert Kamala Pattel", "Patel", "Robert Patel", "Patel, Asha Chetan", "Robert Zzyzx Patel"]
+COMMON_FOUND = {(0, "h0_1"), (1, "h0_1"), (2, "h0_1"), (5, "h2_3")}
+
+
+def test_a_word_shared_by_a_third_of_the_entities(spark):
+    """A surname so common that it counts as generic: names without a rare part still meet, ties stay unlinked."""
+    assert linked(spark, COMMON_ASKED, entities() + shared_core("Patel")) == COMMON_FOUND
+
+
+def test_forms_shared_by_more_entities_than_the_limit(spark, monkeypatch):
+    """The same with a surname that is a rare part in itself, in forms of few and of many shapes, gives the same links."""
+    from gridloom.llm import names as module
+
+    given = sorted({w.lower() for e in shared_core("") for w in e[2].split()})
+    monkeypatch.setattr(module, "generic_words", lambda df: given)
+    ents = shared_core("Patel") + [(f"i{k}", "Person", f"Robert Q{k}x Patel", None, None, "x") for k in range(120)]
+    got = {}
+    for limit in (3, module.COMMON, 10**9):
+        monkeypatch.setattr(module, "COMMON", limit)
+        got[limit] = linked(spark, [*COMMON_ASKED, "Robert Q7x Patel", "B. Q7x Patel"], ents)
+    assert got[3] == got[10**9] == got[200] and got[3] >= COMMON_FOUND
