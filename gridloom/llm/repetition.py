@@ -1,13 +1,14 @@
 """Repetition inside a single document.
 
 zstandard ratios over the whole text and over fixed chunks of it put every document in a band; the limits depend on
-its length, because longer prose compresses better. Documents in the repetitive band are then measured exactly:
+its length, because longer prose compresses better. Texts of more than LONG bytes, of which the compressor no longer
+remembers every place, are band "long" whatever their ratio. Documents in both bands are then measured exactly:
 the share of their characters in words that repeat, word for word or nearly so, what stands earlier in the text.
 A repeat is a run of at least MIN_RUN words covered by five-word shingles seen before, across gaps of up to GAP
 changed words, so set phrases do not count. Words compare in lower case, without white space and outer punctuation.
 
-Defined results: null and blank texts have share 0 and band "empty"; very long texts are one document like any
-other; repeated doc_id are measured each; an empty table gives an empty result.
+Defined results: null and blank texts have share 0 and band "empty"; a very long text is one document and
+always measured; repeated doc_id are measured each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,9 +18,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 SHINGLE, GAP, MIN_RUN = 5, 2, 12
 CHUNK = 4096
+#: As many places as zstandard's smaller table holds at level 3; its window ends at 2 MB.
+LONG = 1 << 16
+#: The bands whose documents are measured.
+MEASURED = ("repetitive", "long")
 #: (bytes up to, ratio from which a text of that length is in the repetitive band)
 REPETITIVE = ((300, 1.0), (600, 1.75), (1000, 2.0), (2000, 2.15), (4000, 2.3), (8000, 2.7), (16000, 3.0), (1 << 62, 3.3))
 CHUNK_LIMIT = 3.2
@@ -82,6 +88,8 @@ def compression(data: bytes, z: zstandard.ZstdCompressor) -> tuple[float, float]
 def band(n: int, whole: float, chunk: float) -> str:
     if not n:
         return "empty"
+    if n > LONG:
+        return "long"
     limit = next(r for size, r in REPETITIVE if n <= size)
     if whole >= limit or n > CHUNK and chunk >= CHUNK_LIMIT:
         return "repetitive"
@@ -100,7 +108,7 @@ def _measure(every: bool):
                 bands.append(band(len(data) if data.strip() else 0, w, c))
                 sizes.append(len(data))
             share = np.zeros(len(texts))
-            pick = np.flatnonzero([every or b == "repetitive" for b in bands])
+            pick = np.flatnonzero([every or b in MEASURED for b in bands])
             # slices of a few million bytes keep the word arrays small whatever the batch
             cuts = np.cumsum(np.array(sizes)[pick]) // 4_000_000
             for k in np.unique(cuts):
@@ -115,10 +123,10 @@ def _measure(every: bool):
 
 
 def repetition(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: bool = True) -> DataFrame:
-    """(doc_id, ratio, chunk_ratio, band, repeated_share); every=False measures the repetitive band only."""
+    """(doc_id, ratio, chunk_ratio, band, repeated_share); every=False measures the bands of MEASURED only."""
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(_measure(every), f"doc_id {kind}, ratio double, chunk_ratio double, band string, repeated_share double")
 
 
 def repetitive_documents(docs: DataFrame, least: float = 0.35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return repetition(docs, id_col, text_col, every=False).where(f"band = 'repetitive' and repeated_share >= {least}")
+    return repetition(docs, id_col, text_col, every=False).where(F.col("band").isin(*MEASURED) & (F.col("repeated_share") >= least))

@@ -1,3 +1,5 @@
+import random
+
 import pyarrow as pa
 import pytest
 
@@ -66,3 +68,19 @@ def test_bands_depend_on_length():
 def test_limits_lose_no_repetitive_text(spark, sf):
     every = repetition(spark.read.parquet(sf.replace("0.001", "0.01") + "/documents.parquet"))
     assert every.where("repeated_share >= 0.35 and band <> 'repetitive'").count() == 0
+
+
+def prose(words, seed):
+    """Words in random order, of a vocabulary that compresses like prose."""
+    rng = random.Random(seed)
+    return " ".join(rng.choices(WORDS, k=words))
+
+
+def test_repeats_beyond_the_compressors_window_are_found(spark):
+    """A text of 4 MB written twice, one of 0.2 MB written twice with every tenth word changed, and a long one without repeats."""
+    once = prose(520_000, 1)
+    near = prose(30_000, 2).split(" ")
+    changed = [f"{w}x{i}" if i % 10 == 0 else w for i, w in enumerate(near)]
+    rows = [(0, f"{once} {once}"), (1, once), (2, " ".join(near + changed))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len(once) > 4_000_000 and sorted(r.doc_id for r in repetitive_documents(df).collect()) == [0, 2]
