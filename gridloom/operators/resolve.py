@@ -18,10 +18,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.functions.similarity import jaro_winkler_similarity, ratio
+from gridloom.functions.similarity import jaro_winkler_levels, jaro_winkler_similarity, ratio
 from gridloom.functions.text import normalize_name, token_jaccard, token_sort, words
 from gridloom.operators.components import connected_components
-from gridloom.session import Stage
+from gridloom.session import Stage, running_before
 
 
 def clusters_of(links: DataFrame) -> DataFrame:
@@ -366,6 +366,89 @@ def probabilistic_pairs(records: DataFrame, fuzzy: dict[str, tuple[float, ...]],
     return scored.join(F.broadcast(lookup), names).where(F.col("match_probability") >= threshold).select("l_id", "r_id", "match_probability")
 
 
+def _block_codes(left: pd.DataFrame, right: pd.DataFrame, fuzzy: dict[str, tuple[float, ...]], exact: tuple[str, ...]):
+    """Per row of left (its position, the code of its pattern with each row of right); levels are found once per pair of distinct values."""
+    parts = []
+    for c in [*fuzzy, *exact]:
+        (x, xs), (y, ys) = pd.factorize(left[c]), pd.factorize(right[c])
+        cuts = sorted(fuzzy.get(c, ()))
+        level = jaro_winkler_levels(list(xs), list(ys), cuts) if cuts else np.zeros((len(xs), len(ys)), np.int8)
+        place = {v: j for j, v in enumerate(ys)}
+        for i, v in enumerate(xs):
+            if v in place:
+                level[i, place[v]] = len(cuts) + 1
+        level[[i for i, v in enumerate(xs) if v == ""], :] = -1
+        level[:, [j for j, v in enumerate(ys) if v == ""]] = -1
+        parts.append((x, y, level + 1, len(cuts) + 3))
+    for i in range(len(left)):
+        code = np.zeros(len(right), np.int32)
+        for x, y, level, size in parts:
+            code = code * size + level[x[i]][y]
+        yield i, code
+
+
+def linked_by_type(records: DataFrame, fuzzy: dict[str, tuple[float, ...]], exact: tuple[str, ...], kind: Column, threshold: float = 0.8, prior: float = 1e-4, rules: tuple = (), rows: int = 4000) -> DataFrame:
+    """(l_id, r_id, match_probability) at or above the threshold of all pairs of one kind, and of the pairs of the rules across kinds.
+
+    Every pair of a kind is compared, in blocks of rows in the order of node_id: quadratic by definition. Model and counts are
+    those of all these pairs; blocks return counts of patterns first, and only pairs of patterns above the threshold then.
+    """
+    columns = [*fuzzy, *exact]
+    sizes = [len(fuzzy.get(c, ())) + 3 for c in columns]
+    base = records.withColumn("kind", kind)
+    filled = base.select("node_id", "kind", *[F.coalesce(c, F.lit("")).alias(c) for c in columns]).where("kind is not null and node_id is not null")
+    placed = Stage(running_before(filled.withColumn("one", F.lit(1)), ["node_id"], "one", "before").withColumn("b", F.floor(F.col("before") / rows).cast("int")).drop("one", "before"), "placed").df
+    last = placed.agg(F.max("b")).first()[0] or 0
+    left = placed.select("kind", F.col("b").alias("i"), F.explode(F.sequence("b", F.lit(last))).alias("j"), "node_id", *columns)
+    right = placed.select("kind", F.explode(F.sequence(F.lit(0), "b")).alias("i"), F.col("b").alias("j"), "node_id", *columns)
+    blocks = left.groupBy("kind", "i", "j").cogroup(right.groupBy("kind", "i", "j"))
+    total = int(np.prod(sizes))
+
+    def tally(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        n = np.zeros(total, np.int64)
+        if len(x) and len(y):
+            ids, diagonal = y["node_id"].to_numpy(), x["i"].iloc[0] == x["j"].iloc[0]
+            for i, code in _block_codes(x, y, fuzzy, exact):
+                n += np.bincount(code[ids > x["node_id"].iat[i]] if diagonal else code, minlength=total)
+        return pd.DataFrame({"code": np.flatnonzero(n), "n": n[n > 0]})
+
+    code = F.lit(0)
+    for c, size in zip(columns, sizes, strict=True):
+        code = code * size + F.col(f"g_{c}") + 1
+    counts = blocks.applyInPandas(tally, "code int, n long")
+    across = None
+    if rules:
+        other = base.select("node_id", "kind")
+        pairs = blocked_pairs(records, list(rules), columns).join(other.withColumnsRenamed({"node_id": "l_id", "kind": "l_kind"}), "l_id").join(other.withColumnsRenamed({"node_id": "r_id", "kind": "r_kind"}), "r_id")
+        pairs = pairs.where("l_kind is null or r_kind is null or l_kind <> r_kind").select("l_id", "r_id", *comparison_levels("l", "r", fuzzy, exact))
+        across = Stage(pairs.select("l_id", "r_id", code.alias("code")), "across").df
+        counts = counts.unionByName(across.groupBy("code").agg(F.count("*").alias("n")))
+    table = counts.groupBy("code").agg(F.sum("n").alias("n")).toPandas()  # at most the product of the levels
+    seen = table["code"].to_numpy(np.int64)
+    patterns = np.stack(np.unravel_index(seen, sizes), axis=1) - 1 if len(seen) else np.zeros((0, len(sizes)), int)
+    found = match_probability(patterns, estimate(patterns, table["n"].to_numpy(float), prior)) if len(seen) else np.zeros(0)
+    likely = np.full(total, np.nan)
+    likely[seen[found >= threshold]] = found[found >= threshold]
+
+    def emit(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        out = [(np.zeros(0, object), np.zeros(0, object), np.zeros(0))]
+        if len(x) and len(y):
+            ids = y["node_id"].to_numpy()
+            for i, code in _block_codes(x, y, fuzzy, exact):
+                own, score = x["node_id"].iat[i], likely[code]
+                at = np.flatnonzero(~np.isnan(score))
+                at = at[ids[at] > own]
+                out.append((np.full(len(at), own, object), ids[at], score[at]))
+        a, b, s = (np.concatenate(p) for p in zip(*out, strict=True))
+        return pd.DataFrame({"l_id": a, "r_id": b, "match_probability": s})
+
+    pairs = Stage(blocks.applyInPandas(emit, "l_id string, r_id string, match_probability double"), "linked").df
+    if across is None:
+        return pairs
+    lookup = F.array(*[F.lit(None if np.isnan(v) else float(v)).cast("double") for v in likely])
+    return pairs.unionByName(across.select("l_id", "r_id", lookup[F.col("code")].alias("match_probability")).where("match_probability is not null"))
+
+
 # ---------------------------------------------------------------- resolvers by name
 
 
@@ -390,7 +473,7 @@ def resolvers() -> dict[str, Resolver]:
         "probabilistic": Resolver(
             "probabilistic",
             lambda m, e, threshold: clusters_of(
-                probabilistic_pairs(m, {"name": (0.7, 0.9)}, (), [[F.coalesce("type", F.lit("Unknown")), F.substring("name", 1, 1)]], threshold).select(F.col("l_id").alias("a"), F.col("r_id").alias("b"))
+                linked_by_type(m, {"name": (0.7, 0.9)}, (), F.coalesce("type", F.lit("Unknown")), threshold).select(F.col("l_id").alias("a"), F.col("r_id").alias("b"))
             ),
             threshold=0.8,
         ),
@@ -445,8 +528,6 @@ def merge_groups(groups: DataFrame) -> DataFrame:
 
     Groups of one member say nothing. Results are numbered from 1 in order of their smallest member.
     """
-    from gridloom.session import running_before
-
     real = groups.join(groups.groupBy("group_id").agg(F.countDistinct("node_id").alias("n")).where("n > 1").select("group_id"), "group_id", "left_semi")
     clusters = clusters_of(star_links(real.select("group_id", "node_id").distinct(), ["group_id"], "node_id"))
     why = real.join(clusters, "node_id").groupBy("cluster_id").agg(F.min_by("reasoning", "group_id").alias("reasoning"))

@@ -98,8 +98,9 @@ def fs_pattern_counts(spark, d):
 
 
 def fs_matches(spark, d):
+    """Every pair of one type, and the pairs of one din across types."""
     r, rules = _blocked(spark, d)
-    return resolve.probabilistic_pairs(r, _FUZZY, _EXACT, rules, 0.8).select("l_id", "r_id", F.round("match_probability", 4).alias("match_probability"))
+    return resolve.linked_by_type(r, _FUZZY, _EXACT, F.col("type"), 0.8, rules=rules[1:]).select("l_id", "r_id", F.round("match_probability", 4).alias("match_probability"))
 
 
 def _vectors(spark, d):

@@ -5,8 +5,9 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from gridloom.functions.similarity import indel_ratio, jaro_winkler, lcs_length
+from gridloom.functions.similarity import indel_ratio, jaro_winkler, jaro_winkler_levels, lcs_length
 from gridloom.operators import communities, graph, resolve
 from gridloom.operators.components import connected_components
 from gridloom.operators.evaluate import align, alias_index, recognise, smallest_cover
@@ -204,3 +205,40 @@ def test_recognition(spark):
     assert {r.id: r.entity for r in align(texts, index).collect()} == {1: None, 2: None, 3: None, 4: "E"}
     need = spark.createDataFrame([(1, "x"), (1, "y"), (2, "y"), (3, "z")], "id int, document string")
     assert smallest_cover(need, ["x", "y", "z"]) == ["y", "z"] and smallest_cover(need, ["x"]) is None
+
+
+def test_jaro_winkler_of_whole_blocks():
+    rng = random.Random(3)
+    texts = ["", "a", "martha", "marhta", "x" * 70, *("".join(rng.choices("abcde ", k=rng.randint(1, 24))) for _ in range(150)), *("".join(rng.choices("ab", k=rng.randint(55, 80))) for _ in range(20))]
+    for cuts in ([0.7, 0.9], [0.6], [0.9]):
+        got = jaro_winkler_levels(texts, texts, cuts)
+        wrong = [(a, b) for i, a in enumerate(texts) for j, b in enumerate(texts) if a and b and got[i, j] != sum(jaro_winkler(a, b) >= c for c in cuts)]
+        assert not wrong
+
+
+def test_linkage_compares_every_pair_of_a_type(spark):
+    """Against all pairs of equal type one by one; names that differ in their first letters are linked too."""
+    rng = random.Random(5)
+    stems = ["".join(rng.choices("abcdefghiklmnoprstuv", k=9)) for _ in range(40)]
+    data = [(f"n{k:03}", "p" if k % 3 else "q", stem if v < 2 else "z" + stem[1:], ("director", "", "auditor")[k % 2], str(k // 4) if v != 1 else None) for k, (stem, v) in enumerate((s, v) for s in stems for v in range(4))]
+    df = spark.createDataFrame([*data, ("x1", None, stems[0], "director", "0"), ("x2", "p", None, None, None)], "node_id string, type string, name string, role string, din string")
+    fuzzy, exact = {"name": (0.7, 0.9), "role": (0.7, 0.9)}, ("din",)
+    as_set = lambda p: {(r.l_id, r.r_id, round(r.match_probability, 6)) for r in p.collect()}
+    kinds, din = [F.col("type")], [F.col("din")]
+    whole = as_set(resolve.linked_by_type(df, fuzzy, exact, F.col("type"), 0.8, rows=50))
+    assert whole == as_set(resolve.probabilistic_pairs(df, fuzzy, exact, [kinds], 0.8))
+    names = {r[0]: r[2] for r in data}
+    assert any(names[a][0] != names[b][0] for a, b, _ in whole)
+    both = as_set(resolve.linked_by_type(df, fuzzy, exact, F.col("type"), 0.8, rules=(din,), rows=50))
+    assert both == as_set(resolve.probabilistic_pairs(df, fuzzy, exact, [kinds, din], 0.8))
+
+
+def test_fs_matches_scores_every_pair_of_a_type(spark, sf, monkeypatch):
+    """With the threshold at 0, as no pair of these tables reaches the query's own."""
+    from gridloom.queries import resolve_queries as q
+
+    whole = resolve.linked_by_type
+    monkeypatch.setattr(resolve, "linked_by_type", lambda r, fuzzy, exact, kind, _, **kw: whole(r, fuzzy, exact, kind, 0.0, **kw))
+    r, (_, din) = q._blocked(spark, sf)
+    expected = resolve.probabilistic_pairs(r, q._FUZZY, q._EXACT, [[F.col("type")], din], 0.0).select("l_id", "r_id", F.round("match_probability", 4))
+    assert {tuple(x) for x in q.fs_matches(spark, sf).collect()} == {tuple(x) for x in expected.collect()} != set()
