@@ -4,7 +4,8 @@ Every name is rewritten to canonical forms: honorifics dropped, legal forms and
 and initials kept as alternatives, tokens freed of their order, letters respelled by sound, and the rare part of the
 name (its core) with each single letter left out, so that one wrong, missing, added or swapped letter still meets
 in a form. Surfaces and entities are exploded to forms and joined on equality; a pair scores by the rarity of the
-rewriting it shares and by how the remaining words agree. A surface is linked to the entity with the best score
+rewriting it shares and by how the remaining words agree. Every recorded name of an
+entity is rewritten and scored by its own words and legal form. A surface is linked to the entity with the best score
 where that is good enough and clearly better than the next.
 
 Which words are generic (given names, trades) is counted over all entity names: those in at least GENERIC_SHARE of
@@ -71,6 +72,10 @@ def shortened(word: str) -> set[str]:
     return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
 
 
+#: Long legal forms and those with one letter left out, so that a misspelled one is known.
+LEGAL_NEAR = {x: kind for form, kind in LEGAL.items() if len(form) >= 7 for x in shortened(form)}
+
+
 def tokens(name: str) -> list[str]:
     s = unicodedata.normalize("NFKC", name).lower()
     s = re.sub(r"\bm\s*/\s*s\b\.?", " ", s).replace("&", " and ")
@@ -150,6 +155,8 @@ class Rules:
                 continue
             if t in LEGAL:
                 legal.add(LEGAL[t])
+            elif t not in self.generic and len(t) >= 6 and (near := shortened(t) & LEGAL_NEAR.keys()):
+                legal |= {LEGAL_NEAR[x] for x in near}
             elif t in self.generic:
                 words.append(t)
             elif len(t) == 1:
@@ -305,11 +312,10 @@ def link_surfaces(surfaces: DataFrame, names: DataFrame) -> DataFrame:
     surfaces(surface): distinct strings. names(entity, name, canonical boolean, organisation boolean).
     """
     generic = generic_words(names.where("canonical"))
-    named = names.where("name is not null").groupBy("entity", "name").agg(F.max("canonical").alias("canonical"), F.max("organisation").alias("organisation"))
-    known = Stage(parsed(named, ["entity", "canonical", "organisation"], generic, True), "names").df
-    own = known.select("entity", "canonical", F.explode("forms").alias("form")).where("not startswith(form, 'w') and (canonical or startswith(form, '0'))").select("form", "entity").distinct()
-    canon = known.where("canonical").select("entity", F.col("words").alias("their_words"), F.col("legal").alias("their_legal"), "organisation").distinct()
-    own = Stage(own.join(canon, "entity"), "own").df
+    named = names.where("name is not null").groupBy("entity", "name").agg(F.max("organisation").alias("organisation"))
+    known = Stage(parsed(named, ["entity", "organisation"], generic, True), "names").df
+    own = known.select("entity", F.col("words").alias("their_words"), F.col("legal").alias("their_legal"), "organisation", F.explode("forms").alias("form"))
+    own = Stage(own.where("not startswith(form, 'w')").distinct(), "own").df
     entities_of = own.select("form", "entity").distinct().groupBy("form").agg(F.count("*").alias("df"))
     shapes = own.groupBy("form", *_SHAPE).agg(F.min("entity").alias("low"), F.max("entity").alias("high"))
     common = shapes.groupBy("form").agg(F.count("*").alias("n")).where(F.col("n") > COMMON).select("form", F.lit(True).alias("common"))

@@ -103,3 +103,10 @@ def test_forms_shared_by_more_entities_than_the_limit(spark, monkeypatch):
         monkeypatch.setattr(module, "COMMON", limit)
         got[limit] = linked(spark, [*COMMON_ASKED, "Robert Q7x Patel", "B. Q7x Patel"], ents)
     assert got[3] == got[10**9] == got[200] and got[3] >= COMMON_FOUND
+
+
+def test_rewritings_of_recorded_aliases_are_linked(spark):
+    """Misspelled, abbreviated and respelled aliases, and an exact one with a trade that the canonical name lacks."""
+    aliases = [("a1", "Company", "Quembrilux Ltd", '["Thornwickel Tex"]', ["the Holding Company", "Brazzonike Textiles"], "x")]
+    asked = ["The Holding Compny", "Holding Co.", "The Holdng Company", "BRAZZONIKE TEXTILES", "Brazonnike Tex.", "Thornwickel Textiles", "The Holding Zzyzx"]
+    assert linked(spark, asked, entities() + aliases) == {(i, "a1") for i in range(6)}
