@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.keys import hex_key_int, norm_key
-from gridloom.session import materialize, skew_join
+from gridloom.session import materialize, merge_join, skew_join
 
 
 @dataclass(frozen=True)
@@ -106,18 +106,17 @@ def dangling_references(parents: list[Parent], refs: list[Reference], buckets: i
     bucket = lambda df: bucketizer.transform(df.withColumn("dk", F.col("ik").cast("double"))).drop("dk")
 
     runs = compress_runs(bucket(par.where("live and ik is not null").select("target", "ik", "first_created")), ["target", "bucket"])
-    placed = asof_runs(runs, bucket(distinct.where("ik is not null")), ["target", "bucket"]).select("target", "nk", "ik", "oldest", "n", "stop", "first_max")
+    placed = asof_runs(runs, bucket(distinct.where("ik is not null")), ["target", "bucket"]).select("target", "nk", "ik", "oldest", "stop", "first_max")
     beyond = F.col("stop").isNull() | (F.col("ik") > F.col("stop"))
-    suspect = placed.where(beyond | (F.col("oldest") < F.col("first_max"))).select("target", "nk", "oldest", "n")
-    suspect = suspect.unionByName(distinct.where("ik is null").select("target", "nk", "oldest", "n"))
+    suspect = placed.where(beyond | (F.col("oldest") < F.col("first_max"))).select("target", "nk", "oldest")
+    suspect = suspect.unionByName(distinct.where("ik is null").select("target", "nk", "oldest"))
 
-    settled = suspect.join(par.drop("ik"), ["target", "nk"], "left").withColumn(
+    settled = merge_join(suspect, par.drop("ik"), ["target", "nk"], "left").withColumn(
         "why",
         F.when(F.col("live").isNull(), "missing").when(~F.col("live"), "deleted").when(F.col("oldest") < F.col("first_created"), "late"),
     )
-    lookup = materialize(settled.where("why is not null").select("target", "nk", "why", "first_created", "n"), "orphans")
-    total = distinct.agg(F.sum("n")).first()[0] or 0
-    hit = skew_join(rows, lookup, ["target", "nk"], "n", total)
+    lookup = materialize(settled.where("why is not null").select("target", "nk", "why", "first_created"), "orphans")
+    hit = skew_join(rows, lookup, distinct.select("target", "nk", "n"), ["target", "nk"], "n")
     return hit.where((F.col("why") != "late") | (F.col("created_at") < F.col("first_created"))).select(
         "ref_table", "ref_field", "load_seq", "created_at", F.col("why").alias("reason")
     )

@@ -34,10 +34,13 @@ def get_spark(app: str = "gridloom", cpus: int = 8, **conf: str) -> SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir; a temporary one where it is unset and all runs in one process."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
     if "dir" not in _OWN_DIR:
         _OWN_DIR["dir"] = tempfile.mkdtemp(prefix="gridloom-")
         atexit.register(shutil.rmtree, _OWN_DIR["dir"], ignore_errors=True)
@@ -63,6 +66,29 @@ class Stage:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Scratch:
+    """The tables that one run of an operator writes; they are deleted when its result has been written."""
+
+    def __init__(self) -> None:
+        self.stages: list[Stage] = []
+
+    def stage(self, df: DataFrame, label: str = "stage") -> DataFrame:
+        self.stages.append(Stage(df, label))
+        return self.stages[-1].df
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        for s in self.stages:
+            s.drop()
+
+
+def merge_join(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join of two sides that both grow with the data: sorted and merged, never broadcast whatever Spark guesses of its size."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     return Stage(df, label).df
 
@@ -71,25 +97,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: A key is hot when it holds more than one in HOT_SHARE of all rows, so there are at most HOT_SHARE hot keys.
-HOT_SHARE = 1000
+#: A key is hot when it holds more than one in HOT_SHARE of all rows, and more than HOT_LEAST, so there are at most HOT_SHARE hot keys.
+HOT_SHARE, HOT_LEAST = 1000, 10_000
 
 
-def skew_join(big: DataFrame, lookup: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
-    """Inner join of rows with a lookup that is unique per key and whose column n counts the rows of each key.
+def skew_join(big: DataFrame, lookup: DataFrame, counts: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """Inner join of rows with a lookup that is unique per key.
 
-    Keys with more than total / HOT_SHARE rows, at most HOT_SHARE of them whatever the data, are joined by
-    broadcast; the rest by a shuffle join in which no key is large. lookup must be cheap to read twice.
+    counts holds every key of big once with the number of its rows in column n; it and lookup must be cheap to read
+    again. The keys of more than total / HOT_SHARE rows, at most HOT_SHARE of them whatever the data, never enter the shuffle:
+    their rows are held back by a broadcast of those keys and meet their part of the lookup by another; without such a part
+    they are dropped there. The rest goes by a shuffle join in which no key is large.
     """
-    limit = max(total / HOT_SHARE, 10_000)
-    small = lookup.where(F.col(n) <= limit).drop(n)
-    cold = big.join(small, keys)
-    hot_rows = lookup.where(F.col(n) > limit).limit(HOT_SHARE + 1).collect()
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    limit = max(total / HOT_SHARE, HOT_LEAST)
+    hot_rows = counts.where(F.col(n) > limit).select(*keys).limit(HOT_SHARE + 1).collect()
     if not hot_rows:
-        return cold
+        return merge_join(big, lookup, keys)
     assert len(hot_rows) <= HOT_SHARE
-    hot = big.sparkSession.createDataFrame(hot_rows, lookup.schema).drop(n)
-    return cold.unionByName(big.join(F.broadcast(hot), keys))
+    hot = F.broadcast(big.sparkSession.createDataFrame(hot_rows, counts.select(*keys).schema))
+    theirs = lookup.join(hot, keys, "left_semi").limit(HOT_SHARE + 1).collect()
+    cold = merge_join(big.join(hot, keys, "left_anti"), lookup, keys)
+    if not theirs:
+        return cold
+    return cold.unionByName(big.join(F.broadcast(big.sparkSession.createDataFrame(theirs, lookup.schema)), keys))
 
 
 def running_before(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from gridloom.operators.references import Parent, Reference, compress_runs, dangling_references, dangling_report
@@ -59,3 +60,27 @@ def test_empty_sides_and_repeats(spark):
 def test_runs_are_compressed(spark):
     df = spark.createDataFrame([(i, T0) for i in [1, 2, 3, 7, 9, 10]], "ik long, first_created timestamp").withColumn("g", F.lit(0))
     assert sorted((r.start, r.stop) for r in compress_runs(df, ["g"]).collect()) == [(1, 3), (7, 7), (9, 10)]
+
+
+def test_hot_keys_never_enter_the_shuffle(spark, monkeypatch):
+    """A key of a third of all rows with a partner and one without: same rows as a plain join, and neither is shuffled."""
+    from gridloom import session
+
+    monkeypatch.setattr(session, "HOT_LEAST", 50)
+    big = spark.range(3000).select((F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, "lost").otherwise(F.concat(F.lit("k"), F.col("id") % 400))).alias("k"), "id", F.lit(1).alias("n"))
+    lookup = spark.createDataFrame([("hot", "a"), *[(f"k{i}", "b") for i in range(0, 400, 2)]], "k string, v string")
+    counts = big.groupBy("k").agg(F.count("*").alias("rows"))
+    got = session.skew_join(big, lookup, counts, ["k"], "rows")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, big.join(lookup, "k").collect()))
+    cold = session.skew_join(big, lookup, counts, ["k"], "rows")._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti" in cold
+
+
+def test_a_cluster_must_name_its_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from gridloom.session import shared_dir
+
+    fake = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: d), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(fake)
