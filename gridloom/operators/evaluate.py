@@ -52,15 +52,16 @@ def alias_index(aliases: DataFrame, ambiguous: DataFrame | None = None) -> DataF
     return one
 
 
-def recognise(texts: DataFrame, index: DataFrame, longest: int = 8) -> DataFrame:
+def recognise(texts: DataFrame, index: DataFrame) -> DataFrame:
     """(id, entities): entities named in each text, left to right, longest alias first, whole words, each once.
 
-    Word windows of up to `longest` words meet the index in an equality join; the greedy choice without overlap is then made
-    per text over its hits. Aliases of more words than that are not looked for.
+    Word windows as long as some alias is meet the index in an equality join; the greedy choice without overlap is then made
+    per text over its hits.
     """
+    lengths = sorted(r[0] for r in index.select(F.size(F.split("alias", " ")).alias("n")).distinct().collect())  # words of a name
     toks = F.filter(F.split(normalize_name(F.col("text")), " "), lambda t: t != "")
     base = texts.select("id", toks.alias("ts"))
-    spans = F.flatten(F.transform(F.sequence(F.lit(1), F.size("ts")), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("ts") - i + 1)), lambda n: F.struct(i.alias("at"), n.alias("n"), F.array_join(F.slice("ts", i, n), " ").alias("alias")))))
+    spans = F.flatten(F.transform(F.sequence(F.lit(1), F.size("ts")), lambda i: F.transform(F.filter(F.array(*[F.lit(k) for k in lengths]).cast("array<int>"), lambda k: k <= F.size("ts") - i + 1), lambda n: F.struct(i.alias("at"), n.alias("n"), F.array_join(F.slice("ts", i, n), " ").alias("alias")))))
     hits = base.where(F.size("ts") > 0).select("id", F.inline(spans)).join(index, "alias").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", (-F.col("n")).alias("m"), "entity"))).alias("hits"))
 
     @F.pandas_udf(ArrayType(StringType()))
@@ -143,24 +144,40 @@ def means(scores: DataFrame, by: list[list[str]]) -> DataFrame:
     return out
 
 
-def question_order(questions: DataFrame, types: list[str]) -> DataFrame:
-    """(id, priority): round robin over types, in order of id inside a type."""
+def question_order(questions: DataFrame, types: list[str] | None = None) -> DataFrame:
+    """(id, priority): round robin over types in their given or alphabetical order, in order of id inside a type."""
     w = Window.partitionBy("type").orderBy("id")
-    index = F.array_position(F.array(*[F.lit(t) for t in types]), F.col("type")) - 1
+    if types is None:
+        order = questions.select("type").distinct().withColumn("at", F.row_number().over(Window.orderBy("type")) - 1)  # one row per type
+        questions, index = questions.join(order, "type"), F.col("at")
+    else:
+        index = F.array_position(F.array(*[F.lit(t) for t in types]), F.col("type")) - 1
     return questions.select("id", "type", ((F.row_number().over(w) - 1) * 10 + index).cast("bigint").alias("priority"))
 
 
-def smallest_cover(requirements: DataFrame, documents: list[str]) -> list[str] | None:
-    """The smallest combination of a few documents that meets every requirement(id, document), by trying all of at most 16."""
-    from itertools import combinations
+def smallest_cover(requirements: DataFrame, documents: list[str] | None = None) -> list[str] | None:
+    """The smallest choice of documents (of those given) that meets every requirement(id, document) of one question; of equals the first in order.
 
-    if len(documents) > 16:
-        raise ValueError("a cover is sought among at most 16 documents")
-    sets = [set(r[0]) for r in requirements.groupBy("id").agg(F.collect_set("document")).select("collect_set(document)").distinct().limit(1 << 16).collect()]
-    for k in range(len(documents) + 1):
-        for pick in combinations(sorted(documents), k):
-            if all(s & set(pick) for s in sets):
-                return list(pick)
+    A question's requirements are few; sets that contain another are met with it and are left out before the search, which branches
+    on the documents of the smallest set still open.
+    """
+    sets = sorted({frozenset(x for x in r[0] if documents is None or x in documents) for r in requirements.groupBy("id").agg(F.collect_set("document")).select("collect_set(document)").distinct().collect()}, key=lambda x: (len(x), sorted(x)))
+    if sets and not sets[0]:
+        return None
+    needed = [x for i, x in enumerate(sets) if not any(y < x for y in sets[:i])]
+
+    def choices(open_: list[frozenset], left: int):
+        if not open_:
+            yield ()
+        elif left:
+            for pick in sorted(min(open_, key=len)):
+                for rest in choices([x for x in open_ if pick not in x], left - 1):
+                    yield (pick, *rest)
+
+    for k in range(len(needed) + 1):
+        found = sorted(tuple(sorted(c)) for c in choices(needed, k))
+        if found:
+            return list(found[0])
     return None
 
 

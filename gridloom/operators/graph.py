@@ -76,19 +76,22 @@ def summary_text(m: DataFrame) -> DataFrame:
     return m.select(F.format_string("entities %d, relationships %d, density %.6f, average degree %.2f, components %d", "n_nodes", "n_edges", "density", "avg_degree", "components").alias("summary"))
 
 
-def page_rank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:
-    """(node_id, rank) after a fixed number of rounds; what nodes without outgoing edges hold is spread evenly."""
+def page_rank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-8) -> DataFrame:
+    """(node_id, rank), once all ranks together move by no more than the tolerance; what nodes without outgoing edges hold is
+    spread evenly. The change shrinks by the damping every round, so the rounds needed do not depend on the graph's size."""
     links = Stage(edges.where("src <> dst").select("src", "dst").distinct(), "links").df
     ids = Stage(nodes.select("node_id").distinct(), "ids").df
     n = ids.count()
     out = links.groupBy("src").agg(F.count("*").alias("k"))
     base = ids.join(out.withColumnRenamed("src", "node_id"), "node_id", "left")
     state = Stage(base.withColumn("rank", F.lit(1.0 / max(n, 1))), "rank")
-    for _ in range(rounds):
+    moved = 2.0
+    while n and moved > tolerance:
         loose = state.df.where("k is null").agg(F.sum("rank")).first()[0] or 0.0
         given = links.join(state.df.select(F.col("node_id").alias("src"), (F.col("rank") / F.col("k")).alias("share")), "src").groupBy(F.col("dst").alias("node_id")).agg(F.sum("share").alias("got"))
-        fresh = state.df.select("node_id", "k").join(given, "node_id", "left").withColumn("rank", (1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + loose / n)).drop("got")
-        after = Stage(fresh.select("node_id", "k", "rank"), "rank")
+        fresh = state.df.select("node_id", "k", "rank").join(given, "node_id", "left").withColumn("was", F.col("rank")).withColumn("rank", (1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + loose / n)).drop("got")
+        after = Stage(fresh.select("node_id", "k", "rank", "was"), "rank")
+        moved = after.df.agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0]
         state.drop()
         state = after
     return state.df.select("node_id", "rank")

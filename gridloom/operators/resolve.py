@@ -88,6 +88,7 @@ def fuzzy_clusters(mentions: DataFrame, threshold: float = 90.0, by_type: bool =
     return clusters_of(fuzzy_links(mentions, threshold, by_type))
 
 
+#: What the closure method compares beside names.
 TEXT_ATTRIBUTES = ("role", "title", "position", "company", "organization")
 EXACT_ATTRIBUTES = ("id", "email", "phone", "din", "pan", "registration_id")
 
@@ -108,12 +109,22 @@ def closure_score(a: str, b: str, text: tuple[str, ...], exact: tuple[str, ...])
     return F.when(weights > 0, total / weights).otherwise(0.0)
 
 
+def _there(mentions: DataFrame, fields: tuple[str, ...]) -> tuple[str, ...]:
+    """The fields that any record fills."""
+    if not fields:
+        return ()
+    n = mentions.agg(*[F.count(F.nullif(F.col(f), F.lit(""))).alias(f) for f in fields]).first()
+    return tuple(f for f in fields if n[f])
+
+
 def closure_links(mentions: DataFrame, threshold: float = 0.85, text: tuple[str, ...] = (), exact: tuple[str, ...] = ()) -> DataFrame:
     """(a, b, score): pairs of one type whose score reaches the threshold, among records that differ in any compared field.
 
-    Equal records are grouped first and linked to one of them. With k further fields a name may be as unlike as
-    (threshold * (2 + k) - k) / 2; names are joined at that ratio, and records with an equal identifier directly.
+    Equal records are grouped first and linked to one of them; fields that no record has are left out. With k text fields a name
+    may be as unlike as (threshold * (2 + k) - k) / 2; names are joined at that ratio. Records of one identifier, which
+    may be less alike, are joined inside it at the ratio that e equal identifiers leave.
     """
+    text, exact = _there(mentions, text), _there(mentions, exact)
     fields = ["name", *text, *exact]
     base = mentions.select("node_id", F.coalesce("type", F.lit("Unknown")).alias("kind"), *fields).where("name is not null and name <> ''")
     low = [F.lower(F.coalesce(f, F.lit(""))).alias(f) for f in fields]
@@ -126,9 +137,17 @@ def closure_links(mentions: DataFrame, threshold: float = 0.85, text: tuple[str,
     pairs = near.join(a, ["kind", "left"]).join(b, ["kind", "right"]).select("a", "b")
     same = a.join(b.withColumnRenamed("right", "left"), ["kind", "left"]).where("a < b").select("a", "b")
     pairs = pairs.unionByName(same)
+    e = len(exact)
+    inner = 100 * (threshold * (2 + k + e) - k - e) / 2
     for f in exact:
-        keyed = distinct.where(F.col(f) != "").select("kind", f, "node_id")
-        pairs = pairs.unionByName(keyed.withColumnRenamed("node_id", "a").join(keyed.withColumnRenamed("node_id", "b"), ["kind", f]).where("a < b").select("a", "b"))
+        keyed = distinct.where(F.col(f) != "").select("kind", f, "node_id", "name")
+        ours, theirs = keyed.select("kind", f, F.col("name").alias("left"), F.col("node_id").alias("a")), keyed.select("kind", f, F.col("name").alias("right"), F.col("node_id").alias("b"))
+        if inner >= 50:  # below that a shared bigram tells too little
+            alike = near_texts(keyed.select("kind", f, F.col("name").alias("text")), inner, ["kind", f]).select("kind", f, "left", "right")
+            met = alike.join(ours, ["kind", f, "left"]).join(theirs, ["kind", f, "right"])
+        else:
+            met = ours.join(theirs, ["kind", f]).where("a < b")
+        pairs = pairs.unionByName(met.select("a", "b"))
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     rec = distinct.select("node_id", F.struct(*fields).alias("rec"))
     full = pairs.join(rec.select(F.col("node_id").alias("a"), F.col("rec").alias("x")), "a").join(rec.select(F.col("node_id").alias("b"), F.col("rec").alias("y")), "b")
@@ -137,6 +156,7 @@ def closure_links(mentions: DataFrame, threshold: float = 0.85, text: tuple[str,
 
 def closure_clusters(mentions: DataFrame, threshold: float = 0.85, text: tuple[str, ...] = (), exact: tuple[str, ...] = ()) -> DataFrame:
     """The fixpoint of merging clusters with any pair at the threshold: components of the threshold graph."""
+    text, exact = _there(mentions, text), _there(mentions, exact)
     fields = ["name", *text, *exact]
     keyed = mentions.where("name is not null and name <> ''").select("node_id", F.coalesce("type", F.lit("Unknown")).alias("kind"), *[F.lower(F.coalesce(f, F.lit(""))).alias(f) for f in fields])
     same = star_links(keyed, ["kind", *fields], "node_id")
@@ -176,7 +196,8 @@ def topological_links(nodes: DataFrame, edges: DataFrame, threshold: float = 0.7
     full = pair.join(c.select("kind", F.col("sig").alias("s1"), F.col("ns").alias("x")), ["kind", "s1"]).join(c.select("kind", F.col("sig").alias("s2"), F.col("ns").alias("y")), ["kind", "s2"])
     jac = F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y"))
     close = full.withColumn("jac", jac).where(F.col("jac") >= j - 1e-9).select("kind", "s1", "s2", "jac")
-    m = sets.select("kind", "sig", "node_id", "name")
+    # members of a class are linked already: of those with one name the smallest stands for all
+    m = sets.groupBy("kind", "sig", "name").agg(F.min("node_id").alias("node_id"))
     across = close.join(m.select("kind", F.col("sig").alias("s1"), F.col("node_id").alias("a"), F.col("name").alias("na")), ["kind", "s1"]).join(m.select("kind", F.col("sig").alias("s2"), F.col("node_id").alias("b"), F.col("name").alias("nb")), ["kind", "s2"])
     across = across.withColumn("score", 0.7 * F.col("jac") + 0.3 * token_jaccard(F.col("na"), F.col("nb"))).where(F.col("score") >= threshold - 1e-9).select("a", "b", "score")
     alone = kinds.join(near.select("node_id").distinct(), "node_id", "left_anti").where("trim(name) <> ''")

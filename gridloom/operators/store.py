@@ -12,10 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions.keys import document_key, entity_key, norm_key, relationship_key, strip
-from gridloom.session import table
+from gridloom.session import merge_join, replace_table, table
 
 OPEN = "OPEN"
-#: Attribute names that belong to the graph, not to the record.
+#: Attribute names that belong to the graph, not to the record.
 RESERVED_NODE = ("original_id", "type", "source_doc", "source_docs", "page_numbers", "cluster_size", "merge_reasoning")
 RESERVED_EDGE = ("relationship_type", "source_doc", "source_docs")
 
@@ -53,10 +53,13 @@ class Store:
     entities: DataFrame
     relationships: DataFrame
     occurrences: DataFrame
+    relationship_occurrences: DataFrame | None = None
 
     def counts(self) -> DataFrame:
         out = None
-        for name in ("documents", "entities", "relationships", "occurrences"):
+        for name in ("documents", "entities", "relationships", "occurrences", "relationship_occurrences"):
+            if getattr(self, name) is None:
+                continue
             n = getattr(self, name).agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows")
             out = n if out is None else out.unionByName(n)
         return out
@@ -66,18 +69,20 @@ REQUIRED = ("entities", "relationships", "entity_occurrences", "source_documents
 
 
 def open_store(spark: SparkSession, path: str) -> Store:
-    """The live store of a folder of tables; ValueError names what is missing."""
-    missing = []
-    for t in REQUIRED:
+    """The live store of a folder of tables; ValueError names what is missing. relationship_occurrences may be absent."""
+
+    def there(t: str) -> bool:
         p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{t}.parquet")
-        if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
-            missing.append(t)
+        return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+    missing = [t for t in REQUIRED if not there(t)]
     if missing:
         raise ValueError(f"missing tables: {', '.join(missing)}")
-    return build_store(table(spark, path, "source_documents"), table(spark, path, "entities"), table(spark, path, "relationships"), table(spark, path, "entity_occurrences"))
+    cited = table(spark, path, "relationship_occurrences") if there("relationship_occurrences") else None
+    return build_store(table(spark, path, "source_documents"), table(spark, path, "entities"), table(spark, path, "relationships"), table(spark, path, "entity_occurrences"), cited)
 
 
-def build_store(documents: DataFrame, entities: DataFrame, relationships: DataFrame, occurrences: DataFrame) -> Store:
+def build_store(documents: DataFrame, entities: DataFrame, relationships: DataFrame, occurrences: DataFrame, relationship_occurrences: DataFrame | None = None) -> Store:
     docs = insert_or_ignore(documents, ["document_id"], ["created_at", "document_name"]).where("deleted_at is null")
     docs = docs.select(norm_key(F.col("document_id")).alias("document_id"), "document_name", "file_path", parse_tags(F.col("access_tags")).alias("access_tags"))
     ents = upsert_last(entities, ["unique_entity_id"], ["load_seq"]).where("deleted_at is null")
@@ -88,7 +93,10 @@ def build_store(documents: DataFrame, entities: DataFrame, relationships: DataFr
     rels = rels.join(ids.withColumnRenamed("unique_entity_id", "from_entity_id"), "from_entity_id", "left_semi").join(ids.withColumnRenamed("unique_entity_id", "to_entity_id"), "to_entity_id", "left_semi")
     occ = occurrences.select("load_seq", norm_key(F.col("entity_id")).alias("entity_id"), norm_key(F.col("document_id")).alias("document_id"), parse_pages(F.col("page_numbers")).alias("page_numbers"))
     occ = upsert_last(occ, ["entity_id", "document_id"], ["load_seq"]).drop("load_seq")
-    return Store(docs, ents, rels, occ)
+    if relationship_occurrences is not None:
+        cited = relationship_occurrences.select("load_seq", norm_key(F.col("relationship_id")).alias("relationship_id"), norm_key(F.col("document_id")).alias("document_id"), parse_pages(F.col("page_numbers").cast("string")).alias("page_numbers"))
+        relationship_occurrences = upsert_last(cited, ["relationship_id", "document_id"], ["load_seq"]).drop("load_seq")
+    return Store(docs, ents, rels, occ, relationship_occurrences)
 
 
 # ---------------------------------------------------------------- conversion of a merged graph
@@ -104,7 +112,11 @@ def convert_graph(nodes: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
     kind = F.coalesce("type", F.lit("Unknown"))
     keyed = nodes.withColumn("canonical_name", name).withColumn("entity_type", kind).withColumn("unique_entity_id", entity_key(name, kind))
     plain = F.to_json(F.map_filter("attrs", lambda k, v: ~k.isin(*RESERVED_NODE, "name") & v.isNotNull()))
-    entities = upsert_last(keyed.select("unique_entity_id", "entity_type", "canonical_name", F.coalesce("cluster_size", F.lit(1)).alias("cluster_size"), plain.alias("attributes"), "ord"), ["unique_entity_id"], ["ord"]).drop("ord")
+    # a node that a resolver merged keeps the reasoning, and its own id stands for the names that went into it
+    why = F.nullif(F.col("attrs")["merge_reasoning"], F.lit(""))
+    variants = F.when(F.get_json_object(why, "$.merged_entities").isNotNull(), F.array("node_id"))
+    columns = ["unique_entity_id", "entity_type", "canonical_name", variants.alias("name_variants"), F.coalesce("cluster_size", F.lit(1)).alias("cluster_size"), plain.alias("attributes"), why.alias("merge_reasoning"), "ord"]
+    entities = upsert_last(keyed.select(*columns), ["unique_entity_id"], ["ord"]).drop("ord")
     docs_of = lambda: F.filter(F.array_distinct(F.concat(F.coalesce("source_docs", F.array().cast("array<string>")), F.array("source_doc"))), lambda d: d.isNotNull() & (F.trim(d) != ""))
     names = nodes.select(F.explode(docs_of()).alias("document_name")).union(edges.select(F.explode(docs_of()).alias("document_name"))).distinct()
     documents = names.select(document_key(F.col("document_name")).alias("document_id"), "document_name")
@@ -123,6 +135,37 @@ def convert_graph(nodes: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
     return {"documents": documents, "entities": entities, "relationships": relationships, "entity_occurrences": occurrences, "relationship_occurrences": relationship_occurrences}
 
 
+#: Keys of the store's tables and whether a new row replaces the one that is there.
+LOADS = {
+    "documents": (["document_id"], False),
+    "entities": (["unique_entity_id"], True),
+    "relationships": (["relationship_id"], True),
+    "entity_occurrences": (["entity_id", "document_id"], True),
+    "relationship_occurrences": (["relationship_id", "document_id"], True),
+}
+
+
+def load_graph(nodes: DataFrame, edges: DataFrame, path: str) -> dict[str, DataFrame]:
+    """The tables of a merged graph written into the store at path, beside what it holds; returns the tables as they are then.
+
+    Documents are inserted or ignored, all else inserted or replaced; loading the same graph twice changes nothing.
+    """
+    spark = nodes.sparkSession
+    out = {}
+    for name, rows in convert_graph(nodes, edges).items():
+        keys, replace = LOADS[name]
+        target = f"{path}/{name}"
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
+        if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+            old = spark.read.parquet(target)
+            both = merge_join(old, rows, keys, "left_anti").unionByName(rows) if replace else old.unionByName(merge_join(rows, old, keys, "left_anti"))
+        else:
+            both = rows
+        replace_table(both, target)
+        out[name] = spark.read.parquet(target)
+    return out
+
+
 # ---------------------------------------------------------------- views
 
 
@@ -136,11 +179,15 @@ def entity_details(s: Store) -> DataFrame:
 
 
 def relationship_details(s: Store) -> DataFrame:
-    """Relationships with the names of both ends."""
+    """Relationships with the names of both ends and of the documents that state them, sorted (null where none is known)."""
     e = s.entities.select("unique_entity_id", "canonical_name", "entity_type")
     a = e.select(F.col("unique_entity_id").alias("from_entity_id"), F.col("canonical_name").alias("from_name"), F.col("entity_type").alias("from_type"))
     b = e.select(F.col("unique_entity_id").alias("to_entity_id"), F.col("canonical_name").alias("to_name"), F.col("entity_type").alias("to_type"))
-    return s.relationships.join(a, "from_entity_id").join(b, "to_entity_id").select("relationship_id", "relationship_type", "from_name", "from_type", "to_name", "to_type", "access_policy")
+    out = s.relationships.join(a, "from_entity_id").join(b, "to_entity_id").select("relationship_id", "relationship_type", "from_name", "from_type", "to_name", "to_type", "access_policy")
+    if s.relationship_occurrences is None:
+        return out.withColumn("documents", F.lit(None).cast("string"))
+    seen = s.relationship_occurrences.join(s.documents.select("document_id", "document_name"), "document_id").groupBy("relationship_id").agg(F.array_join(F.array_sort(F.collect_set("document_name")), ",").alias("documents"))
+    return out.join(seen, "relationship_id", "left")
 
 
 def entity_communities(entities: DataFrame, members: DataFrame, levels: tuple[str, ...] = ("micro", "meso", "macro")) -> DataFrame:

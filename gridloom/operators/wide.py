@@ -4,6 +4,10 @@ Every batch becomes a sparse wide delta: one row per key with a map from attribu
 its own version. Compaction keeps, for every cell, the value of the greatest version; it aggregates cells, never
 whole rows, so a key with very many versions is combined on the map side and no task holds a group.
 
+Batches that arrive one after another are kept as sorted runs (`SortedRuns`): each is bucketed by row key and sorted by
+(row key, attribute name) once, when it is written. Compaction and the wide rows then read bucket by bucket over all runs,
+with no further shuffle of cells.
+
 Defined results: a null blob, a blob that is no JSON object and a key without attributes give a row with only
 nulls; repeated rows and ties of version keep the greater value; names that the catalogue does not hold are kept as
 text in `other`; an empty table gives an empty result; columns of the input beside those named are ignored.
@@ -11,12 +15,14 @@ text in `other`; an empty table gives an empty result; columns of the input besi
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions.parsing import CASTS, parse_json_object, readable
+from gridloom.session import delete_path, merge_join, shared_dir
 
 
 @dataclass(frozen=True)
@@ -65,6 +71,45 @@ def compact_cells(*runs: DataFrame) -> DataFrame:
     )
 
 
+class SortedRuns:
+    """Runs of versioned cells of one table of runs, every run bucketed by row key and sorted by (row key, attribute name).
+
+    A batch's own cells are compacted before they are written, so a run has one version per cell. The number of buckets is
+    fixed for the table; choose it for the size that all live runs together will have.
+    """
+
+    def __init__(self, spark: SparkSession, buckets: int | None = None, name: str | None = None, path: str | None = None):
+        self.spark, self.name = spark, name or f"gridloom_runs_{uuid.uuid4().hex}"
+        self.path = path or f"{shared_dir(spark)}/gridloom/{self.name}"
+        self.buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.runs = 0
+
+    def append(self, *deltas: DataFrame) -> None:
+        """One more run of the cells of these deltas."""
+        cells = compact_cells(*deltas).withColumn("run", F.lit(self.runs))
+        spread = cells.repartition(self.buckets, "row_key").sortWithinPartitions("row_key", "attr_name")
+        spread.write.mode("append").format("parquet").option("path", self.path).bucketBy(self.buckets, "row_key").sortBy("row_key", "attr_name").saveAsTable(self.name)
+        self.runs += 1
+
+    def cells(self) -> DataFrame:
+        """(owner_table, row_key, attr_name, raw, version): the latest version of every cell over all runs; reads bucket by bucket."""
+        newest = F.max(F.struct("version", "raw")).alias("c")
+        return self.spark.table(self.name).groupBy("row_key", "attr_name", "owner_table").agg(newest).select("owner_table", "row_key", "attr_name", "c.raw", "c.version")
+
+    def compact(self) -> SortedRuns:
+        """All runs merged into the first one of a new table; the buckets stay where they are."""
+        merged = SortedRuns(self.spark, self.buckets)
+        cells = self.cells().withColumn("run", F.lit(0)).sortWithinPartitions("row_key", "attr_name")
+        cells.write.format("parquet").option("path", merged.path).bucketBy(self.buckets, "row_key").sortBy("row_key", "attr_name").saveAsTable(merged.name)
+        merged.runs = 1
+        return merged
+
+    def drop(self) -> None:
+        """Forget the table and delete its files; call only when nothing lazy still reads it."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        delete_path(self.spark, self.path)
+
+
 def typed_cells(cells: DataFrame, catalog: list[Attribute]) -> DataFrame:
     """Adds column_name and value_type; a name outside the catalogue is a text column of its own."""
     known = F.create_map(
@@ -102,4 +147,4 @@ def to_wide(keys: DataFrame, cells: DataFrame, catalog: list[Attribute], owner:
     extra = F.when(~F.col("in_catalog") & F.col("raw").isNotNull(), F.struct("attr_name", "raw"))
     aggs.append(F.map_from_entries(F.sort_array(F.collect_list(extra))).alias("other"))
     rows = cells.groupBy("row_key").agg(*aggs)
-    return keys.where(F.col("owner_table") == owner).select("owner_table", "row_key").distinct().join(rows, "row_key", "left")
+    return merge_join(keys.where(F.col("owner_table") == owner).select("owner_table", "row_key").distinct(), rows, "row_key", "left")

@@ -61,7 +61,7 @@ class Orchestrator:
 
     def schema(self) -> list[str]:
         """Entity types that exist; a summary for the planner."""
-        return sorted(r[0] for r in self.store.entities.select("entity_type").where("entity_type is not null").distinct().limit(1000).collect())
+        return sorted(r[0] for r in self.store.entities.select("entity_type").where("entity_type is not null").distinct().collect())
 
     def candidates(self, plan: Plan, per_name: int, threshold: float, per_type: int) -> DataFrame:
         """(entity_id): the best few per name, the first few per type in order of id, and the ends of relationship types."""

@@ -115,9 +115,9 @@ class SecureTraversal:
     def context(self, start_ids: list[str] | DataFrame, max_depth: int = 2) -> Context:
         starts = start_ids if isinstance(start_ids, DataFrame) else self.store.entities.sparkSession.createDataFrame([(i,) for i in start_ids], "entity_id string")
         reached = self.reached(starts, max_depth)
-        return Context(self.details(reached), self.subgraph(reached), self.citations(reached))
+        return Context(self.details(reached), self.subgraph(reached), self.citations(reached, self.store.relationship_occurrences))
 
-    def shortest_path(self, source: str, target: str, max_rounds: int = 50) -> list[str] | None:
+    def shortest_path(self, source: str, target: str) -> list[str] | None:
         """The lexicographically smallest of the shortest paths, or None; one frontier join per level, from the target back.
 
         The driver holds the path only.
@@ -129,7 +129,9 @@ class SecureTraversal:
         if source == target:
             return [source]
         seen = Stage(spark.createDataFrame([(target, 0)], "entity_id string, depth int"), "back")
-        for depth in range(1, max_rounds + 1):
+        depth = 0
+        while True:  # every level reaches new nodes or is the last
+            depth += 1
             front = seen.df.where(F.col("depth") == depth - 1).select(F.col("entity_id").alias("x"))
             fresh = self.both_ways.join(front, "x").select(F.col("y").alias("entity_id")).distinct().join(seen.df, "entity_id", "left_anti").withColumn("depth", F.lit(depth))
             after = Stage(seen.df.unionByName(fresh), "back")
@@ -140,8 +142,6 @@ class SecureTraversal:
                 break
             if not level.limit(1).count():
                 return None
-        else:
-            return None
         path, at = [source], source
         for d in range(depth - 1, -1, -1):
             step = self.both_ways.where(F.col("x") == at).select(F.col("y").alias("entity_id")).join(seen.df.where(F.col("depth") == d), "entity_id")

@@ -47,6 +47,20 @@ def _wide(owner):
     return run
 
 
+def p7_states(spark, d):
+    """The latest cell of every attribute of an entity and the load it comes from: entities arrive month by month, one run each."""
+    entities = table(spark, d, "entities").where("unique_entity_id is not null")
+    month = F.date_format("created_at", "yyyy-MM")
+    keyed = entities.withColumn("batch", F.pmod(F.xxhash64(F.coalesce(month, F.lit(""))), F.lit(BATCHES)))
+    runs = wide.SortedRuns(spark)
+    for batch in range(BATCHES):
+        runs.append(wide.sparse_delta(keyed.where(F.col("batch") == batch), "entities", "unique_entity_id", "attributes", F.struct("created_at", "load_seq")))
+    return runs.cells().select(F.col("row_key").alias("unique_entity_id"), "attr_name", F.col("version.load_seq").alias("load_seq"))
+
+
+#: Batches that the months of the load history are dealt into.
+BATCHES = 4
+
 _REFS = """
 WITH par AS (
   SELECT 'entities' AS target, lower(trim(unique_entity_id)) AS nk, min(created_at) AS f, bool_or(deleted_at IS NULL) AS live
@@ -63,7 +77,7 @@ hit AS (
   FROM refs r LEFT JOIN par p ON p.target = r.target AND p.nk = r.nk WHERE r.nk IS NOT NULL AND r.nk <> '')
 """
 
-QUERIES = {"p3_found": p3_found, "p3_report": p3_report, "p7_found": p7_found, "p7_wide_entities": _wide("entities"), "p7_wide_relationships": _wide("relationships")}
+QUERIES = {"p3_found": p3_found, "p3_report": p3_report, "p7_found": p7_found, "p7_states": p7_states, "p7_wide_entities": _wide("entities"), "p7_wide_relationships": _wide("relationships")}
 _CELLS = r"""
 WITH b AS (SELECT 'entities' AS owner_table, load_seq, attributes AS j FROM entities UNION ALL SELECT 'relationships', load_seq, attributes FROM relationships),
 k AS (SELECT owner_table, load_seq, j, unnest(json_keys(j)) AS attr_name FROM b WHERE json_valid(j) AND json_type(j) = 'OBJECT'),
@@ -78,6 +92,10 @@ SELECT owner_table, load_seq, attr_name FROM n WHERE NOT coalesce(CASE value_typ
 """.replace("\\\\", "\\")
 
 SQL = {
+    "p7_states": """
+WITH b AS (SELECT unique_entity_id, load_seq, created_at, attributes AS j FROM entities WHERE unique_entity_id IS NOT NULL AND json_valid(attributes) AND json_type(attributes) = 'OBJECT'),
+k AS (SELECT DISTINCT unique_entity_id, load_seq, created_at, unnest(json_keys(j)) AS attr_name FROM b)
+SELECT unique_entity_id, attr_name, arg_max(load_seq, (coalesce(created_at, TIMESTAMP '0001-01-01'), load_seq)) AS load_seq FROM k GROUP BY ALL""",
     "p7_found": _CELLS,
     "p3_found": _REFS + "SELECT ref_table, ref_field, load_seq FROM hit WHERE reason IS NOT NULL",
     "p3_report": _REFS + "SELECT ref_table, ref_field, strftime(created_at, '%Y-%m') AS month, reason, count(*) AS n_refs FROM hit WHERE reason IS NOT NULL GROUP BY ALL",

@@ -60,7 +60,7 @@ def modularity(spark, d):
 
 def pagerank(spark, d):
     _, nodes, edges = _graph(spark, d)
-    return graph.page_rank(nodes, edges, rounds=5).select("node_id", F.round("rank", 9).alias("rank"))
+    return graph.page_rank(nodes, edges).select("node_id", F.round("rank", 6).alias("rank"))
 
 
 def leiden_communities(spark, d):
@@ -94,7 +94,8 @@ def community_levels(spark, d):
 def summary_batches(spark, d):
     s, _, _ = _graph(spark, d)
     total = rule_members(s.entities).agg(F.countDistinct(F.concat_ws("|", "level", F.col("community_id").cast("string"))).alias("n"))
-    return total.select(F.col("n").alias("communities"), F.when(F.col("n") <= 0, 1).otherwise(F.greatest(F.lit(1), F.least(F.ceil(F.col("n") / 10), F.lit(25)))).cast("bigint").alias("batch_size"))
+    n = total.first()[0]
+    return spark.createDataFrame([(n, graph.batch_size(n))], "communities bigint, batch_size bigint")
 
 
 _SIMPLE = STORE_SQL + """, u AS (SELECT DISTINCT least(from_entity_id, to_entity_id) AS a, greatest(from_entity_id, to_entity_id) AS b FROM rels WHERE from_entity_id <> to_entity_id),
@@ -105,6 +106,8 @@ _SIMPLE = STORE_SQL + """, u AS (SELECT DISTINCT least(from_entity_id, to_entity
 _RECURSIVE = _SIMPLE.replace("WITH docs", "WITH RECURSIVE docs", 1) + """, s AS (SELECT a, b FROM u UNION ALL SELECT b, a FROM u),
  reach AS (SELECT unique_entity_id AS n, unique_entity_id AS x FROM ents UNION SELECT reach.n, s.b FROM reach JOIN s ON s.a = reach.x)
 """
+#: Rounds of the plain recursion in SQL, by which ranks stand still at the digits compared.
+ROUNDS = 80
 _ONE = "(SELECT count(*) FROM ents) AS n_nodes, (SELECT count(*) FROM rels) AS n_edges"
 
 QUERIES = {f.__name__: f for f in (
@@ -137,6 +140,6 @@ SQL = {
     "summary_batches": MEMBERS_SQL + "SELECT n AS communities, greatest(1, least(ceil(n / 10), 25))::BIGINT AS batch_size FROM (SELECT count(DISTINCT level || '|' || community_id) AS n FROM members)",
     "pagerank": STORE_SQL.replace("WITH docs", "WITH RECURSIVE docs", 1) + """, l AS (SELECT DISTINCT from_entity_id AS src, to_entity_id AS dst FROM rels WHERE from_entity_id <> to_entity_id), k AS (SELECT src, count(*) AS k FROM l GROUP BY src),
        c AS (SELECT count(*) AS n FROM ents)""" + "".join(f""",
-       r{i} AS (SELECT e.unique_entity_id AS id, {'1.0::DOUBLE / n' if i == 0 else f'0.15 / n + 0.85 * (coalesce(got, 0) + coalesce(loose, 0) / n)'} AS rank FROM ents e, c""" + ("" if i == 0 else f"""
-         CROSS JOIN (SELECT sum(rank) AS loose FROM r{i-1} LEFT JOIN k ON k.src = id WHERE k IS NULL) z LEFT JOIN (SELECT dst, sum(rank / k) AS got FROM l JOIN k USING (src) JOIN r{i-1} ON id = src GROUP BY dst) g ON g.dst = e.unique_entity_id""") + ")" for i in range(6)) + " SELECT id AS node_id, round(rank, 9) AS rank FROM r5",
+       r{i} AS MATERIALIZED (SELECT e.unique_entity_id AS id, {'1.0::DOUBLE / n' if i == 0 else f'0.15 / n + 0.85 * (coalesce(got, 0) + coalesce(loose, 0) / n)'} AS rank FROM ents e, c""" + ("" if i == 0 else f"""
+         CROSS JOIN (SELECT sum(rank) AS loose FROM r{i-1} LEFT JOIN k ON k.src = id WHERE k IS NULL) z LEFT JOIN (SELECT dst, sum(rank / k) AS got FROM l JOIN k USING (src) JOIN r{i-1} ON id = src GROUP BY dst) g ON g.dst = e.unique_entity_id""") + ")" for i in range(ROUNDS + 1)) + f" SELECT id AS node_id, round(rank, 6) AS rank FROM r{ROUNDS}",
 }

@@ -138,6 +138,18 @@ SQL = {
        FROM e JOIN rep a ON a.node_id = e.src JOIN rep b ON b.node_id = e.dst WHERE a.rep <> b.rep GROUP BY ALL""",
     "fact_support": _NODES + """SELECT least(a.rep, b.rep) AS a, greatest(a.rep, b.rep) AS b, count(DISTINCT e.document) AS n_docs
        FROM e JOIN rep a ON a.node_id = e.src JOIN rep b ON b.node_id = e.dst WHERE a.rep <> b.rep GROUP BY ALL""",
+    "graph_stats": _NODES.replace("WITH o AS", "WITH RECURSIVE o AS", 1) + """, s AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e), reach AS (SELECT DISTINCT a AS n, a AS x FROM s UNION SELECT reach.n, s.b FROM reach JOIN s ON s.a = reach.x),
+       parts AS (SELECT count(DISTINCT c) AS c, count(*) AS l FROM (SELECT n, min(x) AS c FROM reach GROUP BY n)), k AS (SELECT (SELECT count(*) FROM n) AS nodes, (SELECT count(*) FROM e) AS edges)
+       SELECT 'nodes' AS metric, '' AS key, nodes::DOUBLE AS value FROM k UNION ALL SELECT 'edges', '', edges FROM k UNION ALL SELECT 'components', '', c + nodes - l FROM parts, k
+       UNION ALL SELECT 'avg_degree', '', round(2 * edges / nodes, 6) FROM k UNION ALL SELECT 'max_degree', '', max(d) FROM (SELECT count(*) AS d FROM (SELECT src AS x FROM e UNION ALL SELECT dst FROM e) GROUP BY x)
+       UNION ALL SELECT 'type', type, count(*) FROM n GROUP BY type UNION ALL SELECT 'document', document, count(*) FROM n GROUP BY document UNION ALL SELECT 'relationship', 'NEXT', edges FROM k""",
+    "graph_convert": _NODES + """, mn AS (SELECT rep, arg_min(coalesce(nullif(name, ''), nullif(id, ''), 'UNKNOWN_ENTITY'), ord) AS name, arg_min(type, ord) AS type, count(*) AS size FROM rep GROUP BY rep),
+       mk AS (SELECT rep, upper(trim(name)) || '|' || upper(trim(coalesce(type, 'Unknown'))) AS key FROM mn),
+       me AS (SELECT a.rep AS u, b.rep AS v, e.document FROM e JOIN rep a ON a.node_id = e.src JOIN rep b ON b.node_id = e.dst WHERE a.rep <> b.rep),
+       dn AS (SELECT DISTINCT document FROM n WHERE trim(document) <> ''), oc AS (SELECT DISTINCT key, trim(document) FROM mk JOIN rep USING (rep) WHERE trim(document) <> ''),
+       rl AS (SELECT DISTINCT x.key, y.key AS k2, me.document FROM me JOIN mk x ON x.rep = u JOIN mk y ON y.rep = v)
+       SELECT 'documents' AS table_name, count(*) AS n_rows FROM dn UNION ALL SELECT 'entities', count(DISTINCT key) FROM mk UNION ALL SELECT 'relationships', count(DISTINCT (key, k2)) FROM rl
+       UNION ALL SELECT 'entity_occurrences', count(*) FROM oc UNION ALL SELECT 'relationship_occurrences', count(*) FROM rl""",
     "method_report": _NODES + """SELECT count(DISTINCT cluster) FILTER (cluster_n > 1) AS clusters_found, count(*) AS nodes_before, count(DISTINCT rep) AS nodes_after,
        round(100.0 * (count(*) - count(DISTINCT rep)) / count(*), 4) AS reduction_pct FROM (SELECT *, count(*) OVER (PARTITION BY cluster) AS cluster_n FROM rep)""",
     "page_fallback": r"""SELECT load_seq, CASE WHEN regexp_full_match(trim(page_numbers), '\d+') THEN trim(page_numbers) WHEN regexp_full_match(page_numbers, '\[\d+(, \d+)*\]') THEN replace(trim(page_numbers, '[]'), ' ', '') ELSE '1' END AS pages FROM entity_occurrences""",

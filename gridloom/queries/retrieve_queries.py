@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gridloom.functions.text import normalize_name, words
 from gridloom.operators import retrieve, store
 from gridloom.plans.traverse import allowed_documents
+from gridloom.queries.text_queries import norm_sql
 from gridloom.session import table
 
 QUESTIONS = [(1, "audit committee revised the goodwill"), (2, "working capital limit working capital"), (3, "loan agreement for 41 units at Marupalli")]
@@ -81,6 +82,10 @@ SQL = {
     "bm25_scores": _BM + "SELECT query_id::INT AS query_id, doc_id, round(score, 4) AS score FROM s WHERE score > 0",
     "bm25_topk": _BM + "SELECT query_id::INT AS query_id, doc_id, rank::INT AS rank, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 5",
     "bm25_terms": f"WITH p AS (SELECT doc_id, unnest({_TOK}) AS term FROM documents) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf FROM p GROUP BY term",
+    "bm25_all_ranked": f"""WITH q AS (SELECT DISTINCT query_id, unnest(list_filter(string_split({norm_sql('query')}, ' '), lambda t: t <> '')) AS term FROM (VALUES {', '.join(f"({i}, '{t}')" for i, t in QUESTIONS)}) v(query_id, query)),
+        t AS (SELECT doc_id, list_distinct(string_split({norm_sql('text')}, ' ')) AS ts FROM documents), h AS (SELECT query_id, count(*) AS n FROM (SELECT DISTINCT query_id, doc_id FROM (SELECT doc_id, unnest(ts) AS term FROM t) JOIN q USING (term)) GROUP BY query_id),
+        k AS (SELECT DISTINCT query_id FROM q), c AS (SELECT count(*) AS n FROM documents)
+        SELECT query_id::INT AS query_id, c.n AS n_docs, (c.n - coalesce(h.n, 0))::BIGINT AS n_zero FROM k LEFT JOIN h USING (query_id), c""",
     "rag_chunks": r"SELECT doc_id, greatest(1, ceil(n / 100))::BIGINT AS n_chunks FROM (SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\s+'), lambda t: t <> '')) AS n FROM documents) WHERE n > 0",
     "vector_topk": """WITH q AS (SELECT embedding::DOUBLE[] AS x FROM embeddings ORDER BY vec_id LIMIT 1), s AS (SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], x) AS c FROM embeddings, q ORDER BY c DESC, vec_id LIMIT 20)
         SELECT vec_id, round(c, 4) AS score FROM s WHERE c >= 0.1""",

@@ -140,7 +140,7 @@ SQL = {
         WHERE rn = 1 AND document_id NOT IN (SELECT document_id FROM source_documents WHERE document_name < 'm')""",
     "v_entity_details": STORE_SQL + """SELECT unique_entity_id, entity_type, canonical_name, string_agg(DISTINCT d.document_name, ',' ORDER BY d.document_name) AS documents,
         count(DISTINCT d.document_id) AS document_count FROM ents e LEFT JOIN occs o ON o.entity_id = e.unique_entity_id LEFT JOIN docs d ON d.document_id = o.document_id GROUP BY ALL""",
-    "v_relationship_details": STORE_SQL + """SELECT relationship_id, relationship_type, a.canonical_name AS from_name, a.entity_type AS from_type, b.canonical_name AS to_name, b.entity_type AS to_type, access_policy
+    "v_relationship_details": STORE_SQL + """SELECT relationship_id, relationship_type, a.canonical_name AS from_name, a.entity_type AS from_type, b.canonical_name AS to_name, b.entity_type AS to_type, access_policy, NULL::VARCHAR AS documents
         FROM rels JOIN ents a ON a.unique_entity_id = from_entity_id JOIN ents b ON b.unique_entity_id = to_entity_id""",
     "v_entity_communities": MEMBERS_SQL + """SELECT unique_entity_id, canonical_name, entity_type, a.community_id AS community_micro, b.community_id AS community_meso, c.community_id AS community_macro
         FROM ents e LEFT JOIN members a ON a.entity_id = e.unique_entity_id AND a.level = 'micro' LEFT JOIN members b ON b.entity_id = e.unique_entity_id AND b.level = 'meso'

@@ -47,6 +47,11 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _OWN_DIR["dir"]
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 class Stage:
     """A table written once to the shared folder and read back: cuts lineage and survives lost executors."""
 
@@ -61,9 +66,7 @@ class Stage:
 
     def drop(self) -> None:
         """Delete the table; call only when nothing lazy still reads it."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        delete_path(self.spark, self.path)
 
 
 class Scratch:
@@ -89,6 +92,22 @@ def merge_join(left: DataFrame, right: DataFrame, on: str | list[str], how: str
     return left.join(right.hint("merge"), on, how)
 
 
+def replace_table(df: DataFrame, path: str) -> None:
+    """Truncate and reload: the new content is written beside the old one, the old one is set aside, and the new one takes its
+    place; the old one is deleted last. After a crash between the two renames the content set aside is put back first."""
+    spark = df.sparkSession
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    new, here, aside = (fs_path(path + end) for end in (".new", "", ".old"))
+    fs = here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(aside) and not fs.exists(here):
+        fs.rename(aside, here)
+    df.write.mode("overwrite").parquet(path + ".new")
+    fs.delete(aside, True)
+    if fs.exists(here) and not fs.rename(here, aside) or not fs.rename(new, here):
+        raise OSError(f"cannot replace {path}")
+    fs.delete(aside, True)
+
+
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     return Stage(df, label).df
 

@@ -8,19 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.session import Stage
-
-
-def replace_table(df: DataFrame, path: str) -> None:
-    """Truncate and reload: the new content is written beside the old one and takes its place in one rename."""
-    spark = df.sparkSession
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    new, old = fs_path(path + ".new"), fs_path(path)
-    fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
-    df.write.mode("overwrite").parquet(path + ".new")
-    fs.delete(old, True)
-    if not fs.rename(new, old):
-        raise OSError(f"cannot replace {path}")
+from gridloom.session import Stage, replace_table  # noqa: F401
 
 
 def append_table(df: DataFrame, path: str) -> None:

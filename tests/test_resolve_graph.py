@@ -174,7 +174,13 @@ def test_graph_metrics(spark):
     assert m.avg_clustering == pytest.approx((1 + 1 + 1 / 3) / 5, abs=1e-6)
     empty = graph.metrics(n, e.limit(0)).first()
     assert empty.entity_relationship_ratio == float("inf") and empty.components == 5 and empty.avg_clustering == 0
-    assert graph.page_rank(n, e, 10).agg({"rank": "sum"}).first()[0] == pytest.approx(1)
+    got = {r.node_id: r["rank"] for r in graph.page_rank(n, e).collect()}
+    ids, m = list("abcde"), np.zeros((5, 5))
+    for a, b in {("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")}:
+        m[ids.index(b), ids.index(a)] = 1
+    m = np.where(m.sum(0) > 0, m / np.maximum(m.sum(0), 1), 1 / 5)
+    want = np.linalg.solve(np.eye(5) - 0.85 * m, np.full(5, 0.15 / 5))
+    assert [got[i] for i in ids] == pytest.approx(want, abs=1e-7)
     assert [graph.batch_size(t) for t in (0, 5, 95, 10_000)] == [1, 1, 10, 25]
 
 
@@ -203,6 +209,11 @@ def test_recognition(spark):
     texts = spark.createDataFrame([(1, "Acme Steel and ACME met Vega; acme steel"), (2, "Orion"), (3, None), (4, "vega")], "id int, text string")
     assert {r.id: r.entities for r in recognise(texts, index).collect()} == {1: ["B", "A", "E"], 2: [], 3: [], 4: ["E"]}
     assert {r.id: r.entity for r in align(texts, index).collect()} == {1: None, 2: None, 3: None, 4: "E"}
+    eleven = " ".join(f"w{i}" for i in range(11))
+    long_ = alias_index(spark.createDataFrame([(eleven, "L")], "alias string, entity string"))
+    assert [r.entities for r in recognise(spark.createDataFrame([(1, f"so {eleven} said")], "id int, text string"), long_).collect()] == [["L"]]
+    many = spark.createDataFrame([(i, f"d{j:02d}") for i in range(30) for j in (i, (i + 1) % 30)], "id int, document string")
+    assert len(smallest_cover(many.where("id < 20"))) == 10
     need = spark.createDataFrame([(1, "x"), (1, "y"), (2, "y"), (3, "z")], "id int, document string")
     assert smallest_cover(need, ["x", "y", "z"]) == ["y", "z"] and smallest_cover(need, ["x"]) is None
 
@@ -239,6 +250,7 @@ def test_fs_matches_scores_every_pair_of_a_type(spark, sf, monkeypatch):
 
     whole = resolve.linked_by_type
     monkeypatch.setattr(resolve, "linked_by_type", lambda r, fuzzy, exact, kind, _, **kw: whole(r, fuzzy, exact, kind, 0.0, **kw))
-    r, (_, din) = q._blocked(spark, sf)
-    expected = resolve.probabilistic_pairs(r, q._FUZZY, q._EXACT, [[F.col("type")], din], 0.0).select("l_id", "r_id", F.round("match_probability", 4))
+    r, (_, din), fuzzy, exact = q._blocked(spark, sf)
+    assert set(fuzzy) == {"name", "role", "address"} and exact == ("din",)
+    expected = resolve.probabilistic_pairs(r, fuzzy, exact, [[F.col("type")], din], 0.0).select("l_id", "r_id", F.round("match_probability", 4))
     assert {tuple(x) for x in q.fs_matches(spark, sf).collect()} == {tuple(x) for x in expected.collect()} != set()

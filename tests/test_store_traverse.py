@@ -1,8 +1,9 @@
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
-from gridloom.operators.store import build_store, convert_graph, insert_or_ignore, open_store, upsert_last
+from gridloom.operators.store import build_store, convert_graph, insert_or_ignore, load_graph, open_store, relationship_details, upsert_last
 from gridloom.plans.orchestrate import FLASHLIGHT, LASER, Orchestrator, Plan
 from gridloom.plans.traverse import SecureTraversal, allowed_documents
 
@@ -92,6 +93,38 @@ def test_conversion(spark):
     assert [(r.relationship_type, r.attributes, r.access_policy) for r in t["relationships"].collect()] == [("RELATED_TO", '{"k":"w"}', "OPEN")]
 
 
+def test_merged_nodes_keep_their_history_and_load_twice_alike(spark, tmp_path):
+    node = "node_id string, ord int, type string, original_id string, source_doc string, source_docs array<string>, page_numbers array<int>, cluster_size int, attrs map<string,string>"
+    why = '{"merged_entities": ["n1", "n9"], "confidence": 0.9}'
+    nodes = spark.createDataFrame([("n1", 1, "Company", "C1", "a", ["a"], [1], 2, {"name": "Acme", "merge_reasoning": why}), ("n2", 2, "Person", "P1", "b", None, [5], 1, {"name": "Ann", "merge_reasoning": '{"x": 1}'})], node)
+    edges = spark.createDataFrame([("n1", "n2", 1, "OWNS", "a", None, {"k": "v", "pages": "[3]"})], "src string, dst string, ord int, relationship_type string, source_doc string, source_docs array<string>, attrs map<string,string>")
+    got = {r.canonical_name: (r.name_variants, r.merge_reasoning, r.attributes) for r in convert_graph(nodes, edges)["entities"].collect()}
+    assert got == {"Acme": (["n1"], why, "{}"), "Ann": (None, '{"x": 1}', "{}")}
+    rows = lambda t: {n: sorted(map(str, df.collect())) for n, df in t.items()}
+    first = rows(load_graph(nodes, edges, str(tmp_path)))
+    assert rows(load_graph(nodes, edges, str(tmp_path))) == first and [len(v) for v in first.values()] == [2, 2, 1, 2, 1]
+    more = load_graph(nodes.where("node_id = 'n1'").withColumn("cluster_size", F.lit(7)), edges.limit(0), str(tmp_path))
+    assert {(r.canonical_name, r.cluster_size) for r in more["entities"].collect()} == {("Acme", 7), ("Ann", 1)}
+
+
+def test_relationships_are_cited_and_long_paths_found(spark, store):
+    from dataclasses import replace
+
+    seen = spark.createDataFrame([("r1", "d3", [9]), ("r2", "d1", [8])], "relationship_id string, document_id string, page_numbers array<int>")
+    cited = replace(store, relationship_occurrences=seen)
+    c = SecureTraversal(cited, []).context([IDS["ann"]], 1).to_dict()
+    assert c["citation_context"] == {"One": [1, 3], "Three": [4, 9]}
+    assert {r.relationship_id: r.documents for r in relationship_details(cited).collect()}["r1"] == "Three"
+    n = 70
+    key = lambda i: f"{i:016x}"
+    long_ = replace(
+        store, entities=spark.createDataFrame([(key(i), "Person", f"P{i}", 1, "{}") for i in range(n)], "unique_entity_id string, entity_type string, canonical_name string, cluster_size int, attributes string"),
+        relationships=spark.createDataFrame([(f"e{i}", "NEXT", key(i), key(i + 1), "{}", "OPEN") for i in range(n - 1)], "relationship_id string, relationship_type string, from_entity_id string, to_entity_id string, attributes string, access_policy string"),
+        occurrences=spark.createDataFrame([(key(i), "d1", [1]) for i in range(n)], "entity_id string, document_id string, page_numbers array<int>"),
+    )
+    assert SecureTraversal(long_, []).shortest_path(key(0), key(n - 1)) == [key(i) for i in range(n)]
+
+
 def ask(store, plan, tags=(), texts=None, vectors=None):
     return Orchestrator(store, lambda q, seen, kinds: plan, lambda t: [1.0, 0.0], vectors, texts).ask("profit of Ben", list(tags))
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.functions.parsing import parse_json_object, readable, says_nothing, to_bigint, to_boolean, to_date, to_double
-from gridloom.operators.wide import compact_cells, load_catalog, rows_to_delta, sparse_delta, to_wide, typed_cells, unreadable_cells
+from gridloom.operators.wide import SortedRuns, compact_cells, load_catalog, rows_to_delta, sparse_delta, to_wide, typed_cells, unreadable_cells
 from gridloom.streaming.upserts import compact_runs, write_deltas
 
 CATALOG = [("t", "amt", "amount", "bigint"), ("t", "Amount", "amount", "bigint"), ("t", "when", "day", "date"), ("t", "pct", "share", "double"), ("t", "ok", "flag", "boolean"), ("t", "note", "remark", "text")]
@@ -74,3 +74,22 @@ def test_streamed_runs_compact_like_a_batch(spark, tmp_path):
     stream = spark.readStream.schema("k int, v int, blob string").option("maxFilesPerTrigger", 1).parquet(src)
     write_deltas(stream, "t", "k", "blob", F.col("v"), out, str(tmp_path / "ck")).awaitTermination()
     assert {(r.attr_name, r.raw) for r in compact_runs(spark.read.parquet(out)).collect()} == {("a", "2"), ("b", "1")}
+
+
+def test_sorted_runs_merge_without_a_shuffle(spark):
+    """Batches that contradict each other, one of them late: the latest version of a cell wins, and no plan exchanges cells again."""
+    runs = SortedRuns(spark, 4)
+    batches = [[("k1", 5, '{"a": 1, "b": 1}'), ("k2", 5, '{"a": 1}')], [("k1", 7, '{"a": 2, "c": null}'), ("k1", 6, '{"a": 9, "b": 6}')], [("k1", 4, '{"b": 4, "d": 4}'), ("k2", 9, "no json"), ("k3", 1, None)]]
+    for rows in batches:
+        runs.append(sparse_delta(spark.createDataFrame(rows, "k string, v int, b string"), "t", "k", "b", F.col("v")))
+    want = {("k1", "a", "2", 7), ("k1", "b", "6", 6), ("k1", "c", None, 7), ("k1", "d", "4", 4), ("k2", "a", "1", 5)}
+    rows_of = lambda r: {(x.row_key, x.attr_name, x.raw, x.version) for x in r.cells().collect()}
+    assert rows_of(runs) == want
+    plan = runs.cells().groupBy("row_key").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    merged = runs.compact()
+    assert rows_of(merged) == want
+    merged.append(sparse_delta(spark.createDataFrame([("k2", 8, '{"a": 8}')], "k string, v int, b string"), "t", "k", "b", F.col("v")))
+    assert ("k2", "a", "8", 8) in rows_of(merged)
+    runs.drop()
+    merged.drop()
