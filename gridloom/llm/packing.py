@@ -85,11 +85,10 @@ class _Plan:
                     continue
                 low = self.sizes[0]
                 second = low if self.left[low] > 1 + (low == j) else next((s for s in self.sizes[1:2]), low)
-                if low + second > room:
-                    self.fixed([j, k], many if k > second else 1)
-                    continue
-                if self.best_two(room, j) <= k and 3 * low > room:
-                    self.fixed([j, k], 1)
+                # what is fixed only takes items away: the smallest ones left grow and the best two shrink, so a
+                # condition that holds once holds as long as there are j and k
+                if low + second > room or self.best_two(room, j) <= k and 3 * low > room:
+                    self.fixed([j, k], many)
                     continue
                 break
 

@@ -35,6 +35,12 @@ def test_every_item_has_one_place_and_no_container_overflows(capacity, parts):
     assert items == Counter(counts) and all(v <= capacity for v in load.values()) and max(load, default=-1) < max(n, 1)
 
 
+@pytest.mark.parametrize(("capacity", "shape"), [(512, {300: 1, 200: 1}), (100, {60: 2, 34: 3, 33: 1}), (100, {51: 1, 48: 1, 40: 2, 26: 5}), (64, {33: 4, 31: 2, 30: 1, 20: 7})])
+def test_the_plan_does_not_grow_with_the_number_of_texts(capacity, shape):
+    runs = {n: len(plan_containers(capacity, {s: k * n for s, k in shape.items()})[1]) for n in (1, 1000, 1_000_000)}
+    assert runs[1_000_000] == runs[1000] <= 40 and plan_containers(capacity, {s: k * 1000 for s, k in shape.items()})[0] <= 1000 * plan_containers(capacity, shape)[0]
+
+
 def optimum(capacity, sizes):
     """Least number of containers by exhaustive search."""
     sizes, best = sorted(sizes, reverse=True), [len(sizes)]
