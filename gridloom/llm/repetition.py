@@ -1,11 +1,15 @@
 """Repetition inside a single document.
 
-zstandard ratios over the whole text and over fixed chunks of it put every document in a band; the limits depend on
-its length, because longer prose compresses better. Texts of more than LONG bytes, of which the compressor no longer
-remembers every place, are band "long" whatever their ratio. Documents in both bands are then measured exactly:
+zstandard ratios over the whole text and over fixed chunks of it, set against the ratio that prose of that length has, put
+every document in a band. Text of which a share s is said again compresses about 1 / (1 - s) times as well, so the bands
+lie on both sides of the 1.54 of a share of 0.35: from CERTAIN times the expected ratio on a text is "repetitive" by
+its ratio alone, below DOUBTFUL (for chunks CHUNK_DOUBTFUL) it is "plain" or "incompressible", and between them it is
+"borderline". Texts of more than LONG bytes, of which the compressor no longer remembers every place, are band "long" whatever
+their ratio. Borderline and long documents are then measured exactly:
 the share of their characters in words that repeat, word for word or nearly so, what stands earlier in the text.
 A repeat is a run of at least MIN_RUN words covered by five-word shingles seen before, across gaps of up to GAP
-changed words, so set phrases do not count. Words compare in lower case, without white space and outer punctuation.
+changed words, so set phrases do not count, and a text of fewer words has no band above "plain". Words compare in lower
+case, without white space and outer punctuation.
 
 Defined results: null and blank texts have share 0 and band "empty"; a very long text is one document and
 always measured; repeated doc_id are measured each; an empty table gives an empty result.
@@ -13,6 +17,8 @@ always measured; repeated doc_id are measured each; an empty table gives an empt
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -24,12 +30,12 @@ SHINGLE, GAP, MIN_RUN = 5, 2, 12
 CHUNK = 4096
 #: As many places as zstandard's smaller table holds at level 3; its window ends at 2 MB.
 LONG = 1 << 16
+#: The ratio of prose that repeats nothing, as a parabola in the logarithm of its bytes, fitted by `fit_expected`.
+EXPECTED = (0.0279, -0.0395, 0.6966)
+DOUBTFUL, CERTAIN, CHUNK_DOUBTFUL = 1.05, 1.8, 1.3
+INCOMPRESSIBLE = 0.6
 #: The bands whose documents are measured.
-MEASURED = ("repetitive", "long")
-#: (bytes up to, ratio from which a text of that length is in the repetitive band)
-REPETITIVE = ((300, 1.0), (600, 1.75), (1000, 2.0), (2000, 2.15), (4000, 2.3), (8000, 2.7), (16000, 3.0), (1 << 62, 3.3))
-CHUNK_LIMIT = 3.2
-INCOMPRESSIBLE = 1.05
+MEASURED = ("borderline", "long")
 _PUNCTUATION = ".,;:!?\"'()[]{}<>|।–—-…“”‘’*/\\"
 
 
@@ -85,15 +91,29 @@ def compression(data: bytes, z: zstandard.ZstdCompressor) -> tuple[float, float]
     return whole, max(len(p) / len(z.compress(p)) for p in parts if 2 * len(p) >= CHUNK)
 
 
-def band(n: int, whole: float, chunk: float) -> str:
+def expected_ratio(n: int) -> float:
+    x = math.log(max(n, 64))
+    a, b, c = EXPECTED
+    return a * x * x + b * x + c
+
+
+def fit_expected(sizes: np.ndarray, ratios: np.ndarray) -> tuple[float, float, float]:
+    """EXPECTED anew, from texts without repeats."""
+    return tuple(float(x) for x in np.polyfit(np.log(np.maximum(sizes, 64)), ratios, 2))
+
+
+def band(n: int, whole: float, chunk: float, words: int = MIN_RUN) -> str:
     if not n:
         return "empty"
     if n > LONG:
         return "long"
-    limit = next(r for size, r in REPETITIVE if n <= size)
-    if whole >= limit or n > CHUNK and chunk >= CHUNK_LIMIT:
-        return "repetitive"
-    return "incompressible" if n > 1000 and whole < INCOMPRESSIBLE else "plain"
+    usual = expected_ratio(n)
+    if words >= MIN_RUN:
+        if whole >= CERTAIN * usual:
+            return "repetitive"
+        if whole >= DOUBTFUL * usual or n > CHUNK and chunk >= CHUNK_DOUBTFUL * expected_ratio(CHUNK):
+            return "borderline"
+    return "incompressible" if whole < INCOMPRESSIBLE * usual else "plain"
 
 
 def _measure(every: bool):
@@ -105,7 +125,7 @@ def _measure(every: bool):
             for data in texts.cast(pa.binary()).to_pylist():
                 w, c = compression(data, z) if data.strip() else (0.0, 0.0)
                 ratios.append((w, c))
-                bands.append(band(len(data) if data.strip() else 0, w, c))
+                bands.append(band(len(data) if data.strip() else 0, w, c, len(data.split(None, MIN_RUN))))
                 sizes.append(len(data))
             share = np.zeros(len(texts))
             pick = np.flatnonzero([every or b in MEASURED for b in bands])
@@ -129,4 +149,5 @@ def repetition(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def repetitive_documents(docs: DataFrame, least: float = 0.35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return repetition(docs, id_col, text_col, every=False).where(F.col("band").isin(*MEASURED) & (F.col("repeated_share") >= least))
+    """Documents of the repetitive band, and measured ones of at least that share."""
+    return repetition(docs, id_col, text_col, every=False).where((F.col("band") == "repetitive") | (F.col("band").isin(*MEASURED) & (F.col("repeated_share") >= least)))

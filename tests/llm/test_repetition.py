@@ -1,9 +1,11 @@
+import math
 import random
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from gridloom.llm.repetition import band, repeated_shares, repetition, repetitive_documents
+from gridloom.llm.repetition import band, expected_ratio, fit_expected, repeated_shares, repetition, repetitive_documents
 
 WORDS = [f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{i}" for i in range(4000)]
 SENTENCE = " ".join(WORDS[:20])
@@ -62,12 +64,22 @@ def test_documents_and_edges(spark):
 
 
 def test_bands_depend_on_length():
-    assert band(0, 0, 0) == "empty" and band(200, 1.2, 1.2) == "repetitive" and band(900, 1.9, 1.9) == "plain" and band(5000, 1.0, 1.0) == "incompressible" and band(9000, 2.0, 9.0) == "repetitive"
-
-
-def test_limits_lose_no_repetitive_text(spark, sf):
-    every = repetition(spark.read.parquet(sf.replace("0.001", "0.01") + "/documents.parquet"))
-    assert every.where("repeated_share >= 0.35 and band <> 'repetitive'").count() == 0
+    assert band(0, 0, 0) == "empty" and band(200, 1.2, 1.2) == "plain" and band(900, 1.7, 1.7) == "plain" and band(900, 2.2, 2.2) == "borderline" and band(900, 4.0, 4.0) == "repetitive"
+    assert band(9000, 2.0, 9.0) == "borderline" and band(5000, 1.0, 1.0) == "incompressible" and band(100_000, 9, 9) == "long"
+    assert band(5000, 99.0, 99.0, words=1) == "plain"
+
+
+def test_bands_against_the_exact_share(spark, sf):
+    """No repetitive text below the borderline band, none that is not in the repetitive one, and the curve is that of the texts without repeats."""
+    docs = spark.read.parquet(sf.replace("0.001", "0.01") + "/documents.parquet")
+    every = repetition(docs).join(docs.select("doc_id", F.octet_length("text").alias("n")), "doc_id").where("n > 0 and ratio > 0").toPandas()
+    assert not ((every.repeated_share >= 0.35) & ~every.band.isin(["repetitive", "borderline"])).any()
+    assert (every[every.band == "repetitive"].repeated_share >= 0.35).all() and (every.band == "repetitive").sum() > 10
+    plain = every[every.repeated_share < 0.02]
+    a, b, c = fit_expected(plain.n.to_numpy(), plain.ratio.to_numpy())
+    for n in (300, 1000, 4000, 20_000):
+        x = math.log(n)
+        assert abs(a * x * x + b * x + c - expected_ratio(n)) < 0.06 * expected_ratio(n)
 
 
 def prose(words, seed):
