@@ -6,10 +6,12 @@ name (its core) with each single letter left out, so that one wrong, missing, ad
 in a form. Surfaces and entities are exploded to forms and joined on equality; a pair scores by the rarity of the
 rewriting it shares and by how the remaining words agree. Every recorded name of an
 entity is rewritten and scored by its own words and legal form. A surface is linked to the entity with the best score
-where that is good enough and clearly better than the next.
+where that is good enough and clearly better than the next. The rarity of a form is the share of the entities that do not reach it, on a logarithmic
+scale: a form of one entity counts in full, one that all share not at all. Forms with a letter left out rewrite misspellings;
+they are reached by all spellings within a letter and are rarer the fewer these are.
 
 Which words are generic (given names, trades) is counted over all entity names: those in at least GENERIC_SHARE of
-the entities, so at most a few thousand, which is what makes the list fit for broadcast. A name of generic words only
+the entities, so at most the words of a name / GENERIC_SHARE, which is what makes the list fit for broadcast. A name of generic words only
 (a rare word that many entities share is one) meets others of its kind in the form of the empty core.
 
 No form is left out for being common. Entities that agree in all that the score looks at (words, legal form, kind) are
@@ -25,6 +27,7 @@ whole, however long; empty tables give an empty result; other columns are ignore
 from __future__ import annotations
 
 import functools
+import math
 import re
 import unicodedata
 from collections import defaultdict
@@ -35,7 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from gridloom.session import Stage, skew_join
+from gridloom.session import Scratch, Stage, merge_join, skew_join
 
 GENERIC_SHARE, GENERIC_LEAST, COMMON = 0.002, 4, 200
 LEAST_SCORE, MARGIN = 3.0, 0.25
@@ -56,6 +59,13 @@ NICKNAMES = {
     "siddharth": "sid", "frederick": "fred freddie", "benjamin": "ben benny", "daniel": "dan danny", "samuel": "sam sammy",
     "timothy": "tim timmy", "winston": "win winnie", "jaideep": "jai", "yashwant": "yash", "leopold": "leo", "philippa": "pip pippa",
     "aditya": "adi", "madhavi": "madhu", "james": "jim jimmy jamie", "john": "jack johnny", "richard": "dick rick", "thomas": "tom tommy",
+    "albert": "al bert", "alfred": "alf fred", "arthur": "art", "barbara": "barb babs", "beatrice": "bea trixie", "caroline": "carrie", "catherine": "cathy cat",
+    "charles": "chas chuck charlie", "cynthia": "cindy", "david": "dave davy", "deborah": "deb debbie", "donald": "don donnie", "dorothy": "dot dolly", "emily": "em emmy",
+    "eugene": "gene", "florence": "flo florrie", "gerald": "gerry jerry", "gregory": "greg", "harold": "hal harry", "henry": "hank harry", "isabella": "bella izzy",
+    "jacob": "jake", "jennifer": "jen jenny", "jessica": "jess jessie", "josephine": "jo josie", "judith": "judy", "kenneth": "ken kenny", "louis": "lou",
+    "martin": "marty", "matthew": "matt", "mildred": "millie", "pamela": "pam", "peter": "pete", "philip": "phil pip", "raymond": "ray", "ronald": "ron ronnie",
+    "sarah": "sally sadie", "simon": "si", "stanley": "stan", "teresa": "terry tess", "valerie": "val", "vincent": "vince vinny", "walter": "walt wally",
+    "mohammed": "mo", "subramaniam": "subbu", "venkatesh": "venky", "krishnan": "kris",
     "andrew": "andy drew", "anthony": "tony", "joseph": "joe", "patrick": "paddy pat", "lawrence": "larry", "susan": "sue susie",
 }
 _SOUNDS = (("ee", "i"), ("oo", "u"), ("ph", "f"), ("th", "t"), ("sh", "s"), ("kh", "k"), ("ck", "k"), ("w", "v"), ("y", "i"), ("z", "j"), ("c", "k"), ("q", "k"), ("x", "ks"))
@@ -91,9 +101,9 @@ def _is_subsequence(short: str, word: str) -> bool:
 
 
 class Rules:
-    """The rewriting rules over one list of generic words."""
+    """The rewriting rules over one list of generic words and one of nicknames (full name -> its nicknames, by spaces)."""
 
-    def __init__(self, generic: list[str]):
+    def __init__(self, generic: list[str], nicknames: dict[str, str] | None = None):
         self.generic = frozenset(generic)
         self.sound = {by_sound(g): g for g in sorted(generic)}
         self.near: dict[str, set[str]] = defaultdict(set)
@@ -101,7 +111,7 @@ class Rules:
             for x in shortened(g):
                 self.near[x].add(g)
         self.nick: dict[str, set[str]] = defaultdict(set)
-        for full, short in NICKNAMES.items():
+        for full, short in (NICKNAMES if nicknames is None else nicknames).items():
             if full in self.generic:
                 for n in short.split():
                     self.nick[n].add(full)
@@ -221,6 +231,7 @@ def agreement(words: list[str], legal: str, other: list[str], other_legal: str,
 
 
 _SEP = "\x1f"
+#: What a shared form of each level is worth at most: as written or by sound of the whole name, by sound, with a letter left out.
 _BASE = {0: 10.0, 1: 10.0, 2: 5.0, 3: 4.0, 4: 0.0}
 #: The form of the names without a rare part.
 _NO_CORE = "4"
@@ -234,13 +245,13 @@ def generic_words(names: DataFrame) -> list[str]:
     return sorted(w for w in found if w not in LEGAL and w not in HONORIFICS)
 
 
-def parsed(names: DataFrame, id_cols: list[str], generic: list[str], with_forms: bool) -> DataFrame:
+def parsed(names: DataFrame, id_cols: list[str], rules: tuple[list[str], dict[str, str] | None], with_forms: bool) -> DataFrame:
     """id_cols, name -> core, words, legal, whole and forms array<string> (form, then 'w' where it is of the wide core)."""
     schema = ", ".join([f"{c} {names.schema[c].dataType.simpleString()}" for c in id_cols] + ["core string, words string, wide_words string, legal string, whole string, forms array<string>"])
-    sent = names.sparkSession.sparkContext.broadcast(generic)
+    sent = names.sparkSession.sparkContext.broadcast(rules)
 
     def run(frames):
-        rules = Rules(sent.value)
+        rules = Rules(*sent.value)
         for pdf in frames:
             rows = [rules.parse(n) for n in pdf["name"]]
             out = pdf[id_cols].copy()
@@ -284,7 +295,7 @@ def _shape_keys(words: Column) -> Column:
 _SHAPE = ["their_words", "their_legal", "organisation"]
 
 
-def _met_in_common_forms(theirs: DataFrame, held: DataFrame) -> DataFrame:
+def _met_in_common_forms(theirs: DataFrame, held: DataFrame, scratch: Scratch) -> DataFrame:
     """(surface, wide, form, df, shape, low, high) of the pairs in common forms that can reach LEAST_SCORE.
 
     theirs(surface, wide, used, form), held(form, df, shape, low, high).
@@ -292,48 +303,57 @@ def _met_in_common_forms(theirs: DataFrame, held: DataFrame) -> DataFrame:
     base = F.create_map(*[F.lit(x) for kv in _BASE.items() for x in kv])[F.substring("form", 1, 1).cast("int")]
     out = ["surface", "wide", "form", "df", *_SHAPE, "low", "high"]
     alone = held.groupBy("form", "df", F.size(_words(F.col("their_words"))).alias("n"), "their_legal", "organisation").agg(F.min("their_words").alias("their_words"), F.min("low").alias("low"), F.max("high").alias("high"))
-    bare = theirs.where("used = ''").join(alone, "form").select(out)
+    bare = merge_join(theirs.where("used = ''"), alone, "form").select(out)
 
     keyed = held.withColumn("key", F.explode(_shape_keys(F.col("their_words"))))
     often = keyed.groupBy("form", "key").agg(F.count("*").alias("often"))
     word = theirs.where("used <> ''").withColumn("n", F.size(_words(F.col("used")))).withColumn("spare", F.floor((base + 1 - LEAST_SCORE + 3 * F.col("n")) / 11))
     word = word.select("surface", "wide", "form", "spare", F.posexplode(_words(F.col("used"))).alias("at", "w")).withColumn("key", F.explode(_word_keys(F.col("w"))))
-    word = Stage(word.join(often, ["form", "key"], "left").drop("w"), "words").df
+    word = scratch.stage(merge_join(word, often, ["form", "key"], "left").drop("w"), "words")
     rank = Window.partitionBy("surface", "wide", "form").orderBy("often", "at")
     rarest = word.groupBy("surface", "wide", "form", "spare", "at").agg(F.coalesce(F.sum("often"), F.lit(0)).alias("often")).withColumn("rn", F.row_number().over(rank)).where("rn <= spare + 1")
-    asked = word.where("often is not null").join(rarest.select("surface", "wide", "form", "at"), ["surface", "wide", "form", "at"], "left_semi").select("surface", "wide", "form", "key")
+    asked = merge_join(word.where("often is not null"), rarest.select("surface", "wide", "form", "at"), ["surface", "wide", "form", "at"], "left_semi").select("surface", "wide", "form", "key")
     asked = asked.unionByName(theirs.where("used <> ''").select("surface", "wide", "form", F.lit("").alias("key"))).distinct()
-    return bare.unionByName(asked.join(keyed, ["form", "key"]).select(out))
+    return bare.unionByName(merge_join(asked, keyed, ["form", "key"]).select(out))
 
 
-def link_surfaces(surfaces: DataFrame, names: DataFrame) -> DataFrame:
+def link_surfaces(surfaces: DataFrame, names: DataFrame, nicknames: dict[str, str] | None = None) -> DataFrame:
     """(surface, entity, score) for the surfaces that name one entity.
 
-    surfaces(surface): distinct strings. names(entity, name, canonical boolean, organisation boolean).
+    surfaces(surface): distinct strings. names(entity, name, canonical boolean, organisation boolean). nicknames: full name ->
+    its nicknames by spaces, in place of NICKNAMES; a list small enough to be sent to every task.
     """
-    generic = generic_words(names.where("canonical"))
+    with Scratch() as scratch:
+        return Stage(_link(surfaces, names, nicknames, scratch), "linked").df
+
+
+def _link(surfaces: DataFrame, names: DataFrame, nicknames: dict[str, str] | None, scratch: Scratch) -> DataFrame:
+    generic = (generic_words(names.where("canonical")), nicknames)
     named = names.where("name is not null").groupBy("entity", "name").agg(F.max("organisation").alias("organisation"))
-    known = Stage(parsed(named, ["entity", "organisation"], generic, True), "names").df
+    known = scratch.stage(parsed(named, ["entity", "organisation"], generic, True), "names")
     own = known.select("entity", F.col("words").alias("their_words"), F.col("legal").alias("their_legal"), "organisation", F.explode("forms").alias("form"))
-    own = Stage(own.where("not startswith(form, 'w')").distinct(), "own").df
+    own = scratch.stage(own.where("not startswith(form, 'w')").distinct(), "own")
+    n_entities = own.select("entity").distinct().count()
     entities_of = own.select("form", "entity").distinct().groupBy("form").agg(F.count("*").alias("df"))
     shapes = own.groupBy("form", *_SHAPE).agg(F.min("entity").alias("low"), F.max("entity").alias("high"))
     common = shapes.groupBy("form").agg(F.count("*").alias("n")).where(F.col("n") > COMMON).select("form", F.lit(True).alias("common"))
-    held = Stage(shapes.join(entities_of, "form").join(common, "form", "left").withColumn("common", F.coalesce("common", F.lit(False))), "shapes").df
+    held = scratch.stage(merge_join(merge_join(shapes, entities_of, "form"), common, "form", "left").withColumn("common", F.coalesce("common", F.lit(False))), "shapes")
 
-    asked = Stage(parsed(surfaces.select("surface", F.col("surface").alias("name")), ["surface"], generic, True), "surfaces").df
+    asked = scratch.stage(parsed(surfaces.select("surface", F.col("surface").alias("name")), ["surface"], generic, True), "surfaces")
     wide = F.startswith("f", F.lit("w"))
     theirs = asked.select("surface", "words", "wide_words", F.explode("forms").alias("f"))
     theirs = theirs.select("surface", wide.alias("wide"), F.when(wide, F.col("wide_words")).otherwise(F.col("words")).alias("used"), F.when(wide, F.expr("substr(f, 2)")).otherwise(F.col("f")).alias("form"))
-    met = theirs.drop("used").join(held.where("not common").drop("common"), "form").select("surface", "wide", "form", "df", *_SHAPE, "low", "high")
+    met = merge_join(theirs.drop("used"), held.where("not common").drop("common"), "form").select("surface", "wide", "form", "df", *_SHAPE, "low", "high")
     hot = held.where("common").drop("common")
     if hot.limit(1).count():
-        in_common = Stage(theirs.join(hot.select("form").distinct(), "form", "left_semi"), "common").df
-        met = met.unionByName(_met_in_common_forms(in_common, hot))
-    base = F.create_map(*[F.lit(x) for kv in _BASE.items() for x in kv])[F.substring("form", 1, 1).cast("int")] - 0.01 * F.log2("df")
-    met = met.withColumn("entity", F.explode(F.array_distinct(F.array("low", "high")))).groupBy("surface", "entity", "wide", *_SHAPE).agg(F.max(base).alias("base"))
+        in_common = scratch.stage(merge_join(theirs, hot.select("form").distinct(), "form", "left_semi"), "common")
+        met = met.unionByName(_met_in_common_forms(in_common, hot, scratch))
+    base = F.create_map(*[F.lit(x) for kv in _BASE.items() for x in kv])[F.substring("form", 1, 1).cast("int")]
+    # the rarity of a form: minus the logarithm of the share of entities that reach it, 1 where one alone does and 0 where all do
+    rarity = 1 - F.log2("df") / math.log2(max(2, n_entities))
+    met = met.withColumn("entity", F.explode(F.array_distinct(F.array("low", "high")))).groupBy("surface", "entity", "wide", *_SHAPE).agg(F.max(base * rarity).alias("base"))
 
-    pairs = met.join(asked.select("surface", "words", "wide_words", "legal"), "surface")
+    pairs = merge_join(met, asked.select("surface", "words", "wide_words", "legal"), "surface")
     used = F.when(F.col("wide"), F.col("wide_words")).otherwise(F.col("words"))
     scored = pairs.withColumn("score", F.col("base") + _agree(used, "legal", "their_words", "their_legal", "organisation"))
     best = scored.groupBy("surface", "entity").agg(F.max("score").alias("score")).where(F.col("score") >= LEAST_SCORE)
@@ -347,9 +367,8 @@ def link_mentions(mentions: DataFrame, names: DataFrame, id_col: str, surface_co
     rows = mentions.select(id_col, F.col(surface_col).alias("surface")).where("surface is not null")
     counts = rows.groupBy("surface").agg(F.count("*").alias("n"))
     counts = Stage(counts, "counts").df
-    linked = Stage(link_surfaces(counts.select("surface"), names).join(counts, "surface"), "linked").df
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    return skew_join(rows, linked, ["surface"], "n", total).select(id_col, "entity", "score")
+    linked = link_surfaces(counts.select("surface"), names)
+    return skew_join(rows, linked, counts, ["surface"], "n").select(id_col, "entity", "score")
 
 
 def entity_names(entities: DataFrame) -> DataFrame:

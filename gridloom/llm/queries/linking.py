@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridloom.llm import names
-from gridloom.session import table
+from gridloom.session import merge_join, table
 
 
 def p6_found(spark, d):
@@ -14,7 +14,7 @@ def p6_found(spark, d):
     mentions = table(spark, d, "occurrences")
     kind = known.groupBy("entity").agg(F.max("organisation").alias("organisation"))
     resolved = mentions.where("entity_id is not null and surface is not null").select(F.col("entity_id").alias("entity"), F.col("surface").alias("name")).distinct()
-    known = known.unionByName(resolved.join(kind, "entity").select("entity", "organisation", "name", F.lit(False).alias("canonical")))
+    known = known.unionByName(merge_join(resolved, kind, "entity").select("entity", "organisation", "name", F.lit(False).alias("canonical")))
     open_ = mentions.where("entity_id is null")
     return names.link_mentions(open_, known, "occurrence_id", "surface").select("occurrence_id", F.col("entity").alias("unique_entity_id"))
 
