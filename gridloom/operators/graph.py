@@ -31,27 +31,41 @@ def triangles(edges: DataFrame) -> DataFrame:
     return degree.join(per, "node_id", "left").na.fill(0, ["triangles"])
 
 
-def metrics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row: nodes, edges, density and mean degree over relationship rows, mean clustering, components, ratio."""
-    n = nodes.agg(F.count("*").alias("n_nodes"))
-    m = edges.agg(F.count("*").alias("n_edges"))
-    ends = edges.select(F.explode(F.array("src", "dst")).alias("node_id")).distinct()
-    every = nodes.select("node_id").unionByName(ends).distinct().agg(F.count("*").alias("n_all"))
-    d = F.col("degree")
-    local = triangles(edges).agg(F.sum(F.when(d > 1, 2.0 * F.col("triangles") / (d * (d - 1))).otherwise(0.0)).alias("c"))
-    parts = connected_components(edges).agg(F.countDistinct("component").alias("linked"), F.count("*").alias("in_parts"))
-    row = n.join(m).join(every).join(local).join(parts)
+def sizes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: nodes, edges, density and mean degree over relationship rows, ratio; two counts and nothing more."""
     nn, mm = F.col("n_nodes"), F.col("n_edges")
-    return row.select(
+    return nodes.agg(F.count("*").alias("n_nodes")).join(edges.agg(F.count("*").alias("n_edges"))).select(
         "n_nodes", "n_edges",
         F.when(nn > 1, F.round(mm / (nn * (nn - 1)), 8)).otherwise(0.0).alias("density"),
         F.when(nn > 0, F.round(mm / nn, 6)).otherwise(0.0).alias("avg_degree"),
-        F.round(F.coalesce(F.col("c"), F.lit(0.0)) / F.nullif(F.col("n_all"), F.lit(0)), 6).alias("avg_clustering"),
-        (F.col("linked") + F.col("n_all") - F.col("in_parts")).alias("components"),
         F.when(mm == 0, F.lit(float("inf"))).otherwise(F.round(nn / mm, 6)).alias("entity_relationship_ratio"),
     )
 
 
+def clustering(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: the mean local clustering over all nodes and ends of relationships."""
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("node_id")).distinct()
+    every = nodes.select("node_id").unionByName(ends).distinct().agg(F.count("*").alias("n_all"))
+    d = F.col("degree")
+    local = triangles(edges).agg(F.sum(F.when(d > 1, 2.0 * F.col("triangles") / (d * (d - 1))).otherwise(0.0)).alias("c"))
+    return every.join(local).select(F.round(F.coalesce(F.col("c"), F.lit(0.0)) / F.nullif(F.col("n_all"), F.lit(0)), 6).alias("avg_clustering"))
+
+
+def component_count(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: the connected components over all nodes and ends of relationships."""
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("node_id")).distinct()
+    every = nodes.select("node_id").unionByName(ends).distinct().agg(F.count("*").alias("n_all"))
+    parts = connected_components(edges).agg(F.countDistinct("component").alias("linked"), F.count("*").alias("in_parts"))
+    return every.join(parts).select((F.col("linked") + F.col("n_all") - F.col("in_parts")).alias("components"))
+
+
+def metrics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """sizes, clustering and component_count in one row."""
+    return sizes(nodes, edges).join(clustering(nodes, edges)).join(component_count(nodes, edges)).select(
+        "n_nodes", "n_edges", "density", "avg_degree", "avg_clustering", "components", "entity_relationship_ratio"
+    )
+
+
 def resolutions(m: DataFrame) -> DataFrame:
     """(micro, meso, macro) from density, avg_degree and avg_clustering."""
     dense = (F.col("density") > 0.1) | (F.col("avg_degree") > 20)

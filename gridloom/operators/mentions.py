@@ -93,6 +93,18 @@ def graph_union(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFra
     return both.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_o").alias("r")).select(*keys, "r.*")
 
 
+def filtered(nodes: DataFrame, edges: DataFrame, types: list[str] | None = None, documents: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The part of a graph with nodes of these types that these documents mention, and the edges between such nodes."""
+    kept = nodes
+    if types is not None:
+        kept = kept.where(F.col("type").isin(types))
+    if documents is not None:
+        kept = kept.where(F.col("source_doc").isin(documents))
+    ids = kept.select("node_id")
+    inside = edges.join(ids.withColumnRenamed("node_id", "src"), "src", "left_semi").join(ids.withColumnRenamed("node_id", "dst"), "dst", "left_semi")
+    return kept, inside.select(edges.columns)
+
+
 def statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(metric, key, value): nodes, edges, components, nodes per type and document, edges per type, mean and greatest degree."""
     row = lambda df, metric, key, value: df.select(F.lit(metric).alias("metric"), key.cast("string").alias("key"), value.cast("double").alias("value"))

@@ -65,9 +65,9 @@ def near_texts(texts: DataFrame, threshold: float, block: list[str]) -> DataFram
     # a fixed number of partitions: the rows are few bytes but many pairs, so merging small partitions would cost
     parts = 2 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     head = head.repartition(parts, *block, "_g")
-    pairs = head.withColumnRenamed("text", "left").join(head.withColumnRenamed("text", "right"), [*block, "_g"]).where(fits).select(*block, "left", "right").distinct()
-    # substitutions cost two in the ratio and one in Levenshtein distance, which Spark computes natively
-    pairs = pairs.where(F.levenshtein("left", "right") <= (1 - t) * (F.length("left") + n) + 1e-9)
+    # substitutions cost two in the ratio and one in Levenshtein distance, which Spark computes natively and before any shuffle
+    close = F.levenshtein("left", "right") <= (1 - t) * (F.length("left") + n) + 1e-9
+    pairs = head.withColumnRenamed("text", "left").join(head.withColumnRenamed("text", "right"), [*block, "_g"]).where(fits & close).select(*block, "left", "right").distinct()
     return pairs.withColumn("score", ratio(F.col("left"), F.col("right"))).where(F.col("score") >= threshold)
 
 
@@ -483,9 +483,9 @@ class Resolver:
         return self._run(mentions, edges, **self.params)
 
 
-def resolvers() -> dict[str, Resolver]:
-    """The six methods of the library with their usual parameters; model-assisted ones take an injected client."""
-    return {
+def resolvers(ask=None) -> dict[str, Resolver]:
+    """The methods of the library with their usual parameters, and with a client (ask, as in model_resolve) the model-assisted one."""
+    out = {
         "exact": Resolver("exact", lambda m, e: exact_clusters(m)),
         "fuzzy": Resolver("fuzzy", lambda m, e, threshold: fuzzy_clusters(m, threshold), threshold=90.0),
         "closure": Resolver("closure", lambda m, e, threshold: closure_clusters(m, threshold), threshold=0.85),
@@ -499,6 +499,9 @@ def resolvers() -> dict[str, Resolver]:
             threshold=0.8,
         ),
     }
+    if ask is not None:
+        out["model"] = Resolver("model", lambda m, e, size, rounds: model_resolve(m, ask, size, rounds), size=30, rounds=3)
+    return out
 
 
 def model_batches(mentions: DataFrame, size: int = 30) -> DataFrame:

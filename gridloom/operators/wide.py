@@ -81,7 +81,7 @@ class SortedRuns:
     def __init__(self, spark: SparkSession, buckets: int | None = None, name: str | None = None, path: str | None = None):
         self.spark, self.name = spark, name or f"gridloom_runs_{uuid.uuid4().hex}"
         self.path = path or f"{shared_dir(spark)}/gridloom/{self.name}"
-        self.buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.runs = 0
 
     def append(self, *deltas: DataFrame) -> None:

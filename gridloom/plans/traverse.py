@@ -60,19 +60,21 @@ class SecureTraversal:
 
     @cached_property
     def open_edges(self) -> DataFrame:
-        """Open relationships whose ends are both grounded."""
-        g = self.grounded
+        """Open relationships, written once; their ends are held against what is grounded where a walk or an answer meets them."""
         r = self.store.relationships.where(F.col("access_policy") == OPEN)
-        r = r.join(g.withColumnRenamed("entity_id", "from_entity_id"), "from_entity_id", "left_semi")
-        return Stage(r.join(g.withColumnRenamed("entity_id", "to_entity_id"), "to_entity_id", "left_semi"), "open").df
+        return Stage(r.select("relationship_id", "relationship_type", "from_entity_id", "to_entity_id"), "open").df
 
-    @cached_property
-    def both_ways(self) -> DataFrame:
-        """(x, y): distinct neighbours in both directions."""
+    def _ends_grounded(self, edges: DataFrame) -> DataFrame:
+        for end in ("from_entity_id", "to_entity_id"):
+            edges = edges.join(self.grounded.withColumnRenamed("entity_id", end), end, "left_semi")
+        return edges
+
+    def _neighbours(self, front: DataFrame) -> DataFrame:
+        """(entity_id): distinct grounded entities one open relationship away from front(x), in either direction."""
         e = self.open_edges
-        one = e.select(F.col("from_entity_id").alias("x"), F.col("to_entity_id").alias("y"))
-        two = e.select(F.col("to_entity_id").alias("x"), F.col("from_entity_id").alias("y"))
-        return Stage(one.unionByName(two).where("x <> y").distinct(), "both").df
+        out = e.join(front.withColumnRenamed("x", "from_entity_id"), "from_entity_id", "left_semi").select(F.col("to_entity_id").alias("entity_id"))
+        back = e.join(front.withColumnRenamed("x", "to_entity_id"), "to_entity_id", "left_semi").select(F.col("from_entity_id").alias("entity_id"))
+        return out.unionByName(back).distinct().join(self.grounded, "entity_id", "left_semi")
 
     def reached(self, starts: DataFrame, max_depth: int) -> DataFrame:
         """(entity_id, depth) of grounded entities within max_depth of starts(entity_id)."""
@@ -81,7 +83,7 @@ class SecureTraversal:
         seen = Stage(starts.select("entity_id").distinct().join(self.grounded, "entity_id", "left_semi").withColumn("depth", F.lit(0)), "seen")
         for depth in range(1, max_depth + 1):
             front = seen.df.where(F.col("depth") == depth - 1)
-            step = self.both_ways.join(front.select(F.col("entity_id").alias("x")), "x").select(F.col("y").alias("entity_id")).distinct()
+            step = self._neighbours(front.select(F.col("entity_id").alias("x")))
             fresh = step.join(seen.df, "entity_id", "left_anti").withColumn("depth", F.lit(depth))
             after = Stage(seen.df.unionByName(fresh), "seen")
             seen.drop()
@@ -105,7 +107,10 @@ class SecureTraversal:
         """(document_name, pages) of allowed documents that mention the entities, or a relationship that touches them."""
         seen = self.store.occurrences.join(ids.select("entity_id").distinct(), "entity_id", "left_semi").select("document_id", "page_numbers")
         if relationship_occurrences is not None:
-            touch = self.open_edges.select("relationship_id", F.explode(F.array("from_entity_id", "to_entity_id")).alias("entity_id")).join(ids.select("entity_id").distinct(), "entity_id", "left_semi").select("relationship_id").distinct()
+            mine = ids.select("entity_id").distinct()
+            each = self.open_edges.select("relationship_id", "from_entity_id", "to_entity_id")
+            touch = each.join(mine.withColumnRenamed("entity_id", "from_entity_id"), "from_entity_id", "left_semi").unionByName(each.join(mine.withColumnRenamed("entity_id", "to_entity_id"), "to_entity_id", "left_semi"))
+            touch = self._ends_grounded(touch).select("relationship_id").distinct()
             seen = seen.unionByName(relationship_occurrences.join(touch, "relationship_id", "left_semi").select("document_id", "page_numbers"))
         rows = seen.where("page_numbers is not null").join(self.allowed.select("document_id", "document_name"), "document_id")
         # pages are made distinct before they are gathered, so a much cited document costs its pages only
@@ -133,7 +138,7 @@ class SecureTraversal:
         while True:  # every level reaches new nodes or is the last
             depth += 1
             front = seen.df.where(F.col("depth") == depth - 1).select(F.col("entity_id").alias("x"))
-            fresh = self.both_ways.join(front, "x").select(F.col("y").alias("entity_id")).distinct().join(seen.df, "entity_id", "left_anti").withColumn("depth", F.lit(depth))
+            fresh = self._neighbours(front).join(seen.df, "entity_id", "left_anti").withColumn("depth", F.lit(depth))
             after = Stage(seen.df.unionByName(fresh), "back")
             seen.drop()
             seen = after
@@ -144,7 +149,7 @@ class SecureTraversal:
                 return None
         path, at = [source], source
         for d in range(depth - 1, -1, -1):
-            step = self.both_ways.where(F.col("x") == at).select(F.col("y").alias("entity_id")).join(seen.df.where(F.col("depth") == d), "entity_id")
+            step = self._neighbours(spark.createDataFrame([(at,)], "x string")).join(seen.df.where(F.col("depth") == d), "entity_id")
             at = step.agg(F.min("entity_id")).first()[0]
             path.append(at)
         return path
@@ -153,7 +158,7 @@ class SecureTraversal:
         """One open relationship per step: forward before backward, then the smallest relationship_id."""
         spark = self.store.entities.sparkSession
         steps = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(zip(path, path[1:], strict=False))], "step int, a string, b string")
-        e = self.open_edges
+        e = self._ends_grounded(self.open_edges)
         forward = steps.join(e, (F.col("a") == F.col("from_entity_id")) & (F.col("b") == F.col("to_entity_id"))).withColumn("backward", F.lit(0))
         backward = steps.join(e, (F.col("b") == F.col("from_entity_id")) & (F.col("a") == F.col("to_entity_id"))).withColumn("backward", F.lit(1))
         every = forward.unionByName(backward)

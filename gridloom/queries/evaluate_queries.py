@@ -24,6 +24,19 @@ def pairwise_f1(spark, d):
     return evaluate.pairwise_scores(_predicted(spark, d), _gold(spark, d))
 
 
+def method_scores(spark, d):
+    """The exact method and a model-assisted one (a stand-in that groups equal names) on the resolved mentions, against their entities."""
+    from gridloom.operators.resolve import resolvers
+    from gridloom.plans.pipeline import score_methods
+
+    o = table(spark, d, "occurrences").where("entity_id is not null")
+    mentions = o.select("node_id", F.lit("Mention").alias("type"), F.trim("surface").alias("name"), F.col("occurrence_id").alias("ord"))
+    methods = resolvers(lambda pdf: [list(g) for _, g in pdf.dropna(subset=["name"]).groupby("name")["node_id"] if len(g) > 1])
+    out = score_methods({k: methods[k] for k in ("exact", "model")}, mentions, None, _gold(spark, d))
+    # what a model finds depends on its batches; that it links nothing wrongly which the names do not
+    return out.select("method", "gold_pairs", F.when(F.col("method") == "exact", F.col("shared_pairs")).alias("shared_pairs"), F.when(F.col("method") == "exact", F.col("predicted_pairs")).alias("predicted_pairs"))
+
+
 def purity(spark, d):
     return evaluate.purity(_predicted(spark, d), _gold(spark, d))
 
@@ -108,11 +121,15 @@ _AL = f"""WITH a0 AS (SELECT unique_entity_id AS entity, unnest(aliases) AS alia
  idx AS (SELECT alias, min(entity) AS entity FROM a1 WHERE alias <> '' GROUP BY alias HAVING count(DISTINCT entity) = 1)
 """
 
-QUERIES = {f.__name__: f for f in (pairwise_f1, purity, alias_index, recognise, align_surfaces, set_f1, context_coverage, path_hits, by_type_means, question_order, answer_scores)}
+QUERIES = {f.__name__: f for f in (pairwise_f1, method_scores, purity, alias_index, recognise, align_surfaces, set_f1, context_coverage, path_hits, by_type_means, question_order, answer_scores)}
 SQL = {
     "pairwise_f1": _P + """, t AS (SELECT (SELECT coalesce(sum(n * (n - 1) / 2), 0) FROM (SELECT count(*) AS n FROM b GROUP BY p))::BIGINT AS pp, (SELECT coalesce(sum(n * (n - 1) / 2), 0) FROM (SELECT count(*) AS n FROM b GROUP BY g))::BIGINT AS gp,
        (SELECT coalesce(sum(n * (n - 1) / 2), 0) FROM (SELECT count(*) AS n FROM b GROUP BY p, g))::BIGINT AS sp)
        SELECT pp AS predicted_pairs, gp AS gold_pairs, sp AS shared_pairs, round(sp / nullif(pp, 0), 6) AS precision, round(sp / nullif(gp, 0), 6) AS recall, CASE WHEN sp > 0 THEN round(2 * (sp / pp) * (sp / gp) / (sp / pp + sp / gp), 6) ELSE 0 END AS f1 FROM t""",
+    "method_scores": f"""WITH {_G}, x AS (SELECT o.node_id AS item, o.entity_id AS g, coalesce(nullif({norm_sql('o.surface')}, ''), 'i:' || o.node_id) AS p FROM occurrences o WHERE entity_id IS NOT NULL),
+       t AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM (SELECT count(*) AS n FROM x GROUP BY p))::BIGINT AS pp, (SELECT sum(n * (n - 1) / 2) FROM (SELECT count(*) AS n FROM x GROUP BY g))::BIGINT AS gp,
+       (SELECT sum(n * (n - 1) / 2) FROM (SELECT count(*) AS n FROM x GROUP BY p, g))::BIGINT AS sp)
+       SELECT 'exact' AS method, gp AS gold_pairs, sp AS shared_pairs, pp AS predicted_pairs FROM t UNION ALL SELECT 'model', gp, NULL, NULL FROM t""",
     "purity": _P + """, k AS (SELECT p, g, count(*) AS n FROM b GROUP BY ALL) SELECT round((SELECT sum(m) FROM (SELECT max(n) AS m FROM k GROUP BY p)) / (SELECT count(*) FROM b), 6) AS purity,
        round((SELECT sum(m) FROM (SELECT max(n) AS m FROM k GROUP BY g)) / (SELECT count(*) FROM b), 6) AS inverse_purity""",
     "alias_index": _AL + "SELECT alias, entity FROM idx",

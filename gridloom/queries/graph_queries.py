@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from gridloom.operators import communities, graph, store
+from gridloom.plans import pipeline
 from gridloom.queries.store_queries import MEMBERS_SQL, STORE_SQL, rule_members
+from gridloom.session import Stage, shared_dir
 
 
 def _graph(spark, d):
@@ -17,7 +21,7 @@ def _graph(spark, d):
 
 def density_degree(spark, d):
     _, nodes, edges = _graph(spark, d)
-    return graph.metrics(nodes, edges).select("n_nodes", "n_edges", "density", "avg_degree", "entity_relationship_ratio")
+    return graph.sizes(nodes, edges)
 
 
 def avg_clustering(spark, d):
@@ -32,13 +36,13 @@ def triangle_counts(spark, d):
 
 def resolution_tuning(spark, d):
     _, nodes, edges = _graph(spark, d)
-    return graph.resolutions(graph.metrics(nodes, edges))
+    return graph.resolutions(graph.sizes(nodes, edges).join(graph.clustering(nodes, edges)))
 
 
 def recompute_decision(spark, d):
     """The graph now against itself with a tenth and a twelfth less."""
     _, nodes, edges = _graph(spark, d)
-    now = graph.metrics(nodes, edges).select("n_nodes", "n_edges")
+    now = graph.sizes(nodes, edges).select("n_nodes", "n_edges")
     out = None
     for name, k in (("same", 1.0), ("smaller", 0.8), ("none", None)):
         last = now.select((F.col("n_nodes") * F.lit(k)).alias("n_nodes"), (F.col("n_edges") * F.lit(k)).alias("n_edges"))
@@ -49,7 +53,7 @@ def recompute_decision(spark, d):
 
 def graph_summary(spark, d):
     _, nodes, edges = _graph(spark, d)
-    return graph.summary_text(graph.metrics(nodes, edges))
+    return graph.summary_text(graph.sizes(nodes, edges).join(graph.component_count(nodes, edges)))
 
 
 def modularity(spark, d):
@@ -69,9 +73,30 @@ def leiden_communities(spark, d):
 
 
 def leiden_quality(spark, d):
-    """Modularity of the partition found, to be set against the rule's."""
-    _, nodes, edges = _graph(spark, d)
-    return graph.modularity(edges, communities.detect(nodes, edges, 1.0))
+    """Entities, those that are in exactly one community, and whether the partition found is better than the rule's."""
+    s, nodes, edges = _graph(spark, d)
+    found = Stage(communities.detect(nodes, edges, 1.0), "found").df
+    rule = rule_members(s.entities).where("level = 'macro'").select(F.col("entity_id").alias("node_id"), F.col("community_id").alias("community"))
+    each = found.groupBy("node_id").agg(F.countDistinct("community").alias("k")).agg(F.count("*").alias("n_entities"), F.sum((F.col("k") == 1).cast("bigint")).alias("n_in_one"))
+    return each.join(graph.modularity(edges, found).withColumnRenamed("modularity", "q")).join(graph.modularity(edges, rule)).select("n_entities", "n_in_one", (F.col("q") > F.col("modularity")).alias("better"))
+
+
+def _led_by(pdf):
+    """A stand-in for a language model: the sentence it is asked for."""
+    return [p.replace("Summarise", "This is") for p in pdf["prompt"]]
+
+
+def community_run(spark, d):
+    """The whole run on the store: what each level holds, whether every community has its summary, and that a second run is not needed."""
+    s, nodes, edges = _graph(spark, d)
+    path = f"{shared_dir(spark)}/gridloom/run-{uuid.uuid4().hex}"
+    names = s.entities.select(F.col("unique_entity_id").alias("entity_id"), "canonical_name")
+    nodes, edges = Stage(nodes, "nodes").df, Stage(edges, "edges").df
+    out = pipeline.community_run(nodes, edges, names, path, _led_by)
+    again = pipeline.community_run(nodes, edges, names, path, _led_by)
+    m = out["communities"].withColumn("community_key", F.concat_ws("_", "level", "community"))
+    told = m.join(out["community_summaries"].withColumn("told", F.lit(1)), "community_key", "left")
+    return told.groupBy("level").agg(F.count("*").alias("n_members"), F.count("told").alias("n_told"), F.countDistinct("entity_id").alias("n_entities")).withColumn("again", F.lit(again is not None))
 
 
 def community_stats(spark, d):
@@ -111,7 +136,7 @@ ROUNDS = 80
 _ONE = "(SELECT count(*) FROM ents) AS n_nodes, (SELECT count(*) FROM rels) AS n_edges"
 
 QUERIES = {f.__name__: f for f in (
-    density_degree, avg_clustering, triangle_counts, resolution_tuning, recompute_decision, graph_summary, modularity, pagerank, leiden_communities, leiden_quality, community_stats,
+    density_degree, avg_clustering, triangle_counts, resolution_tuning, recompute_decision, graph_summary, modularity, pagerank, leiden_communities, leiden_quality, community_run, community_stats,
     community_top, community_levels, summary_batches)}
 SQL = {
     "density_degree": STORE_SQL + f"SELECT n_nodes, n_edges, round(n_edges / (n_nodes * (n_nodes - 1)), 8) AS density, round(n_edges / n_nodes, 6) AS avg_degree, round(n_nodes / n_edges, 6) AS entity_relationship_ratio FROM (SELECT {_ONE})",
@@ -123,7 +148,11 @@ SQL = {
        SELECT round(CASE WHEN den > 0.1 OR deg > 20 THEN 2.0 WHEN den > 0.01 OR deg > 5 THEN 1.5 ELSE 1.0 END * CASE WHEN cl > 0.5 THEN 1.2 ELSE 1 END, 4)::DOUBLE AS micro,
          round(CASE WHEN den > 0.1 OR deg > 20 THEN 1.2 WHEN den > 0.01 OR deg > 5 THEN 1.0 ELSE 0.7 END * CASE WHEN cl > 0.5 THEN 1.1 ELSE 1 END, 4)::DOUBLE AS meso,
          (CASE WHEN den > 0.1 OR deg > 20 THEN 0.5 WHEN den > 0.01 OR deg > 5 THEN 0.3 ELSE 0.1 END)::DOUBLE AS macro FROM g, c""",
+    "graph_summary": _RECURSIVE + f"""SELECT printf('entities %d, relationships %d, density %.6f, average degree %.2f, components %d', n_nodes, n_edges, round(n_edges / (n_nodes * (n_nodes - 1)), 8), round(n_edges / n_nodes, 6),
+       (SELECT count(DISTINCT m) FROM (SELECT n, min(x) AS m FROM reach GROUP BY n))) AS summary FROM (SELECT {_ONE})""",
     "recompute_decision": "SELECT * FROM (VALUES ('same', false), ('smaller', true), ('none', true)) v(last_run, recompute)",
+    "leiden_quality": STORE_SQL + "SELECT count(*) AS n_entities, count(*) AS n_in_one, true AS better FROM ents",
+    "community_run": STORE_SQL + "SELECT level, n AS n_members, n AS n_told, n AS n_entities, false AS again FROM (SELECT count(*) AS n FROM ents), (VALUES ('micro'), ('meso'), ('macro')) v(level)",
     "modularity": MEMBERS_SQL + """, u AS (SELECT DISTINCT least(from_entity_id, to_entity_id) AS a, greatest(from_entity_id, to_entity_id) AS b FROM rels WHERE from_entity_id <> to_entity_id),
        e AS (SELECT x.community_id AS ca, y.community_id AS cb FROM u JOIN members x ON x.entity_id = a AND x.level = 'macro' JOIN members y ON y.entity_id = b AND y.level = 'macro'),
        d AS (SELECT c, count(*) AS d FROM (SELECT ca AS c FROM e UNION ALL SELECT cb FROM e) GROUP BY c), l AS (SELECT ca AS c, count(*) AS l FROM e WHERE ca = cb GROUP BY ca), m AS (SELECT count(*) AS m FROM e)

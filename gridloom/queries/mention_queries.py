@@ -69,6 +69,14 @@ def graph_stats(spark, d):
     return M.statistics(nodes, edges).select("metric", "key", F.round("value", 6).alias("value"))
 
 
+def graph_filter(spark, d):
+    """Edges and nodes of the part of the graph whose mentions are of one type."""
+    nodes, edges = _graph(spark, d)
+    first = nodes.agg(F.min("type")).first()[0]
+    n, e = M.filtered(nodes, edges, types=[first])
+    return n.select(F.col("node_id").alias("a"), F.lit("").alias("b")).unionByName(e.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+
+
 def graph_convert(spark, d):
     """Row counts of the five tables that the merged graph becomes."""
     nodes, edges = _graph(spark, d)
@@ -127,7 +135,7 @@ m AS (SELECT n.*, coalesce(g.cluster_id, n.node_id) AS cluster FROM n LEFT JOIN
 rep AS (SELECT *, first_value(node_id) OVER (PARTITION BY cluster ORDER BY ord) AS rep FROM m)
 """
 
-QUERIES = {f.__name__: f for f in (mention_build, edge_collapse, cluster_merge_nodes, cluster_merge_edges, method_report, graph_stats, graph_convert, page_fallback, reserved_keys, chunk_remap, fact_support)}
+QUERIES = {f.__name__: f for f in (mention_build, edge_collapse, cluster_merge_nodes, cluster_merge_edges, method_report, graph_stats, graph_filter, graph_convert, page_fallback, reserved_keys, chunk_remap, fact_support)}
 SQL = {
     "mention_build": _NODES + "SELECT node_id, type, document AS source_doc, coalesce(page::VARCHAR, '') AS pages, 'mention' AS attr_type FROM n",
     "edge_collapse": _NODES + "SELECT src, dst, 'NEXT' AS relationship_type, 'x' AS attr_source_doc FROM e",
@@ -143,6 +151,7 @@ SQL = {
        SELECT 'nodes' AS metric, '' AS key, nodes::DOUBLE AS value FROM k UNION ALL SELECT 'edges', '', edges FROM k UNION ALL SELECT 'components', '', c + nodes - l FROM parts, k
        UNION ALL SELECT 'avg_degree', '', round(2 * edges / nodes, 6) FROM k UNION ALL SELECT 'max_degree', '', max(d) FROM (SELECT count(*) AS d FROM (SELECT src AS x FROM e UNION ALL SELECT dst FROM e) GROUP BY x)
        UNION ALL SELECT 'type', type, count(*) FROM n GROUP BY type UNION ALL SELECT 'document', document, count(*) FROM n GROUP BY document UNION ALL SELECT 'relationship', 'NEXT', edges FROM k""",
+    "graph_filter": _NODES + """, k AS (SELECT node_id FROM n WHERE type = (SELECT min(type) FROM n)) SELECT node_id AS a, '' AS b FROM k UNION ALL SELECT src, dst FROM e WHERE src IN (SELECT node_id FROM k) AND dst IN (SELECT node_id FROM k)""",
     "graph_convert": _NODES + """, mn AS (SELECT rep, arg_min(coalesce(nullif(name, ''), nullif(id, ''), 'UNKNOWN_ENTITY'), ord) AS name, arg_min(type, ord) AS type, count(*) AS size FROM rep GROUP BY rep),
        mk AS (SELECT rep, upper(trim(name)) || '|' || upper(trim(coalesce(type, 'Unknown'))) AS key FROM mn),
        me AS (SELECT a.rep AS u, b.rep AS v, e.document FROM e JOIN rep a ON a.node_id = e.src JOIN rep b ON b.node_id = e.dst WHERE a.rep <> b.rep),

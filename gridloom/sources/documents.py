@@ -154,6 +154,21 @@ def read_extractions(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.url_decode(name).alias("source_doc"), F.url_decode(name).alias("doc_ord"), F.lit(None).cast("array<int>").alias("pages"), "entities", "relationships")
 
 
+#: The files of a gold standard and the columns that are read of them.
+GOLD = {
+    "entities": "id string, type string, canonical_name string, aliases array<string>, ambiguous_surfaces array<string>",
+    "relations": "`from` string, type string, `to` string, attributes map<string,string>, documents array<string>",
+    "occurrences": "document string, page int, entity_id string, surface string",
+    "documents": "name string, file string, format string, pages int",
+    "questions": "id string, type string, question string, answer_type string, answer string, evidence_entities array<string>, evidence_paths array<array<array<string>>>, min_documents int, documents_needed array<string>, priority bigint",
+}
+
+
+def read_gold(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables of a gold standard kept as <table>.json files of JSON arrays; answers are given as their JSON text."""
+    return {name: spark.read.schema(schema).option("multiLine", True).json(f"{path}/{name}.json") for name, schema in GOLD.items()}
+
+
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """(document, text) of .txt and .md files as they are, and of .json files with a `pages` list of strings or objects."""
     plain = spark.read.option("pathGlobFilter", "*.{txt,md}").text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("text"))

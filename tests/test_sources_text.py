@@ -137,3 +137,18 @@ def test_running_sums_over_partitions(spark):
     df = spark.createDataFrame([(i, i % 3) for i in range(100)], "o int, v int").repartition(7)
     got = {r.o: r.s for r in running_before(df, ["o"], "v", "s").collect()}
     assert got == {i: sum(j % 3 for j in range(i)) for i in range(100)}
+
+
+def test_gold_standard(spark, tmp_path):
+    files = {
+        "entities": '[{"id": "E1", "type": "Person", "canonical_name": "Ann", "aliases": ["A."], "ambiguous_surfaces": []}]',
+        "relations": '[{"from": "E1", "type": "OWNS", "to": "E2", "attributes": {"pct": 4}, "documents": ["d"]}]',
+        "occurrences": '[{"document": "d", "page": 2, "entity_id": "E1", "surface": "Ann"}]', "documents": "[]",
+        "questions": '[{"id": "q", "type": "lookup", "answer_type": "entity_list", "answer": ["E1", "E2"], "evidence_paths": [[["E1", "E2"]]], "priority": 3}, {"id": "r", "answer": 5}]',
+    }
+    for name, text in files.items():
+        (tmp_path / f"{name}.json").write_text(text)
+    gold = documents.read_gold(spark, str(tmp_path))
+    assert {n: df.count() for n, df in gold.items()} == {"entities": 1, "relations": 1, "occurrences": 1, "documents": 0, "questions": 2}
+    assert {r.id: r.answer for r in gold["questions"].collect()} == {"q": '["E1", "E2"]', "r": "5"}
+    assert gold["relations"].first().attributes == {"pct": "4"} and gold["questions"].where("id = 'q'").first().evidence_paths == [[["E1", "E2"]]]
