@@ -3,11 +3,13 @@
 Union-find runs inside edge partitions and only each partition's spanning forest is kept, as stars (node, local
 root). While a forest is larger than one bounded partition, stars that share a node are contracted to edges
 between their roots and the next level works on those; the labels are then handed down again. When the forest
-fits, one bounded partition merges it. Every level keeps the smallest node id of a tree as its root, so the final
-root is the smallest of the whole component.
+fits, one bounded partition merges it; where a level does not shrink the links (edges spread so thinly that no two
+of a partition meet), large-star and small-star steps take over, so every input ends. Every level keeps the smallest
+node id of a tree as its root, so the final root is the smallest of the whole component.
 
-Edges are range-partitioned by (smaller end, larger end): the edges of a hub stand next to each other, are merged
-into one star where they meet, and still spread over as many partitions as they fill.
+The first level takes the input's own partitions, one scan split each; from the second on edges are range-partitioned
+by (smaller end, larger end): the edges of a hub stand next to each other, are merged into one star where they meet,
+and still spread over as many partitions as they fill.
 
 Defined results: null ends, self links and pairs below the threshold (or with a null score) link nothing; repeated
 and reversed pairs count once; mentions without a link are no case; an empty table gives an empty result.
@@ -21,10 +23,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.session import Stage, skew_join
+from gridloom.operators.components import connected_components
+from gridloom.session import Stage, merge_join, skew_join
 
 #: Edges that one partition may hold while merging; about 100 bytes each.
 MAX_EDGES = 4_000_000
+#: A level that leaves more than this share of its links is the last: the rest goes by large-star and small-star steps.
+SHRINK = 0.9
 
 
 def min_roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -66,26 +71,26 @@ def spanning_stars(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").mapInArrow(_forest, "node string, root string")
 
 
-def component_labels(edges: DataFrame, max_edges: int = MAX_EDGES, level: int = 0) -> DataFrame:
+def component_labels(edges: DataFrame, max_edges: int = MAX_EDGES) -> DataFrame:
     """(node, root) over all edges (a, b) of non-null strings; root is the smallest node of the component."""
     stars = Stage(spanning_stars(edges), "stars")
     forest = stars.df
     links = forest.where("node <> root").count()
     if links <= max_edges:
         return spanning_stars(forest.select(F.col("root").alias("a"), F.col("node").alias("b")).coalesce(1))
-    if level > 60:
-        raise RuntimeError("component contraction does not converge")
     seen = forest.groupBy("node").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    meets = forest.join(seen.where("low <> high").select("node", "low"), "node")
-    contracted = meets.where("root <> low").select(F.col("low").alias("a"), F.col("root").alias("b")).distinct()
-    n = max(2, -(-links // max_edges) * 2)
-    upper = component_labels(contracted.repartitionByRange(n, "a", "b"), max_edges, level + 1).select(F.col("node").alias("low"), F.col("root").alias("top"))
+    meets = merge_join(forest, seen.where("low <> high").select("node", "low"), "node")
+    contracted = Stage(meets.where("root <> low").select(F.col("low").alias("a"), F.col("root").alias("b")).distinct(), "contracted").df
+    n = contracted.count()
+    if n <= SHRINK * links:
+        upper = component_labels(contracted.repartitionByRange(max(2, -(-links // max_edges) * 2), "a", "b"), max_edges)
+    else:
+        upper = connected_components(contracted, "a", "b").select("node", F.col("component").alias("root"))
+    upper = upper.select(F.col("node").alias("low"), F.col("root").alias("top"))
     low = Stage(seen.select("node", "low"), "low").df
-    sizes = low.groupBy("low").agg(F.count("*").alias("n"))
-    moved = Stage(upper.join(sizes, "low"), "upper").df
-    relabelled = skew_join(low, moved, ["low"], "n", links).select("node", F.col("top").alias("root"))
-    same = low.join(moved.select("low"), "low", "left_anti").select("node", F.col("low").alias("root"))
-    return relabelled.unionByName(same)
+    sizes = Stage(low.groupBy("low").agg(F.count("*").alias("n")), "sizes").df
+    top = Stage(merge_join(sizes.select("low"), upper, "low", "left").select("low", F.coalesce("top", "low").alias("top")), "upper").df
+    return skew_join(low, top, sizes, ["low"], "n").select("node", F.col("top").alias("root"))
 
 
 def match_groups(pairs: DataFrame, left: str, right: str, score: str | None = None, threshold: float = 0.8, max_edges: int = MAX_EDGES) -> DataFrame:

@@ -39,6 +39,13 @@ def test_shapes_against_brute_force(spark, bound):
     assert groups(spark, pairs, max_edges=bound) == brute(pairs)
 
 
+def test_thin_edges_go_by_star_steps(spark, monkeypatch):
+    """No level counts as shrinking, so the first contraction hands over."""
+    monkeypatch.setattr("gridloom.llm.components.SHRINK", -1)
+    pairs = [(k, f"n{k % 97:03d}", f"n{(k * 7 + 1) % 97:03d}", 0.9, "x", "y", 1) for k in range(60)]
+    assert groups(spark, pairs, max_edges=3) == brute(pairs)
+
+
 def test_empty(spark):
     assert groups(spark, []) == set()
     assert groups(spark, [(1, "a", "a", 1.0, "x", "y", 1)]) == set()
