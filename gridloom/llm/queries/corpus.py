@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridloom.llm import mixing, packing
@@ -18,6 +19,29 @@ def p8_report(spark, d):
     return packing.fill_report(p8_pack(spark, d), table(spark, d, "pack_capacity"))
 
 
+def p8_check(spark, d):
+    """Per kind: texts placed, containers over their capacity, texts split that would fit, places taken twice, and whether the
+    containers are at most a hundredth and one more than the least possible."""
+    kinds = table(spark, d, "pack_capacity").select("container_kind", "capacity_tokens")
+    packed = Stage(p8_pack(spark, d), "packed").df
+    load = packed.groupBy("container_kind", "container_id").agg(F.sum("n_tokens").alias("load"), (F.count("*") - F.countDistinct("place")).alias("twice"))
+    texts = packed.groupBy("container_kind", "doc_id").agg(F.count("*").alias("parts"), F.sum("n_tokens").alias("size"))
+    full = load.join(kinds, "container_kind").groupBy("container_kind").agg(
+        F.count_if(F.col("load") > F.col("capacity_tokens")).alias("n_overfull"), F.sum("twice").alias("n_twice"),
+        (F.count("*") <= 1 + 1.01 * F.ceil(F.sum("load") / F.first("capacity_tokens"))).alias("tight"),
+    )
+    whole = texts.join(kinds, "container_kind").groupBy("container_kind").agg(F.count("*").alias("n_texts"), F.count_if((F.col("parts") > 1) & (F.col("size") <= F.col("capacity_tokens"))).alias("n_split"))
+    return full.join(whole, "container_kind").select("container_kind", "n_texts", "n_overfull", "n_split", "n_twice", "tight")
+
+
+def p9_check(spark, d):
+    """Per target: whether the share reached is within a hundredth and two blocks of the target, and no text is used too often."""
+    report = p9_shares(spark, d)
+    total = F.sum("tokens").over(Window.partitionBy())
+    near = F.abs(F.col("share_reached") - F.col("target_share")) <= 0.01 + 2 * mixing.BLOCK_TOKENS / total
+    return report.select("source", near.alias("near"), (F.col("most_repeats") <= F.col("max_repeats")).alias("within"))
+
+
 def p9_mix(spark, d):
     docs = table(spark, d, "documents").withColumn("text_hash", F.md5("text"))
     sizes = with_token_counts(docs, ["doc_id", "source", "text_hash"])
@@ -28,5 +52,8 @@ def p9_shares(spark, d):
     return mixing.share_report(p9_mix(spark, d), table(spark, d, "mix_targets"))
 
 
-QUERIES = {"p8_pack": p8_pack, "p8_report": p8_report, "p9_mix": p9_mix, "p9_shares": p9_shares}
-SQL: dict[str, str] = {}
+QUERIES = {"p8_pack": p8_pack, "p8_report": p8_report, "p8_check": p8_check, "p9_check": p9_check, "p9_mix": p9_mix, "p9_shares": p9_shares}
+SQL: dict[str, str] = {
+    "p8_check": "SELECT container_kind, (SELECT count(DISTINCT doc_id) FROM documents) AS n_texts, 0 AS n_overfull, 0 AS n_split, 0 AS n_twice, true AS tight FROM pack_capacity",
+    "p9_check": """SELECT DISTINCT lower(trim(source)) AS source, true AS near, true AS within FROM mix_targets""",
+}
