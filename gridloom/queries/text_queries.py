@@ -89,6 +89,8 @@ _WORDS = r"list_filter(regexp_split_to_array({c}, '\s+'), lambda t: t <> '')"
 QUERIES = {f.__name__: f for f in (
     normalize_name, token_sort, token_jaccard, text_quality, token_estimate, clean_lines, parse_numbers, chunk_windows, retrieval_tokens, answer_reading, entity_texts, embedding_lines, json_props)}
 SQL = {
+    "entity_texts": """SELECT load_seq, coalesce(nullif(concat_ws(' | ', CASE WHEN trim(entity_type) <> '' THEN 'Type: ' || entity_type END, CASE WHEN trim(canonical_name) <> '' THEN 'Name: ' || canonical_name END,
+      CASE WHEN json_valid(attributes) AND trim(json_extract_string(attributes, '$.role')) <> '' THEN 'Role: ' || json_extract_string(attributes, '$.role') END), ''), 'Unknown Entity') AS embedded FROM entities""",
     "normalize_name": f"SELECT occurrence_id, {norm_sql('surface')} AS norm FROM occurrences",
     "token_sort": f"SELECT occurrence_id, array_to_string(list_sort({_WORDS.format(c='coalesce(lower(surface), chr(32))')}), ' ') AS sorted FROM occurrences",
     "token_jaccard": f"""WITH e AS (SELECT unique_entity_id AS entity_id, arg_max(canonical_name, load_seq) AS name FROM entities GROUP BY 1),
