@@ -96,8 +96,9 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, bl
 
 
 def share_report(mixed: DataFrame, targets: DataFrame) -> DataFrame:
-    """Per target source: target_share, tokens used, the share reached, texts and the greatest number of uses."""
+    """Per target source: target_share, tokens used, the share reached, texts and the greatest number of uses; an empty mix
+    reaches no share (null)."""
     used = mixed.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("tokens"), F.count("*").alias("texts"), F.max("repeats").alias("most_repeats"))
     t = targets.select(norm_key(F.col("source")).alias("source"), "target_share", "max_repeats")
     out = t.join(used, "source", "left").na.fill(0, ["tokens", "texts", "most_repeats"])
-    return out.withColumn("share_reached", F.col("tokens") / F.sum("tokens").over(Window.partitionBy()))
+    return out.withColumn("share_reached", F.try_divide(F.col("tokens"), F.sum("tokens").over(Window.partitionBy())))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from gridloom.functions.keys import norm_key
 from gridloom.llm import mixing, packing
 from gridloom.llm.tokens import with_token_counts
-from gridloom.session import Stage, table
+from gridloom.session import Stage, merge_join, table
 
 
 def p8_pack(spark, d):
@@ -35,17 +36,41 @@ def p8_check(spark, d):
 
 
 def p9_check(spark, d):
-    """Per target: whether the share reached is within a hundredth and two blocks of the target, and no text is used too often."""
-    report = p9_shares(spark, d)
-    total = F.sum("tokens").over(Window.partitionBy())
-    near = F.abs(F.col("share_reached") - F.col("target_share")) <= 0.01 + 2 * mixing.BLOCK_TOKENS / total
-    return report.select("source", near.alias("near"), (F.col("most_repeats") <= F.col("max_repeats")).alias("within"))
+    """Per target, against the documents: whether the share reached is within a hundredth and two blocks of the target, in a mix
+    as large as the targets allow but for a hundredth and a block for each of them; and whether no text is used too often by all
+    its rows and copies, nor stands there with another source or size than its own, nor any of a source without a target."""
+    targets = table(spark, d, "mix_targets")
+    sizes = Stage(_mix_sizes(spark, d), "sizes").df
+    mixed = Stage(mixing.mix(sizes, targets), "mixed").df
+    t = F.broadcast(targets.select(norm_key(F.col("source")).alias("source"), "target_share", "max_repeats").where("target_share > 0"))
+
+    texts = sizes.where("n_tokens > 0").withColumn("source", norm_key(F.col("source"))).join(t, "source", "left_semi")
+    texts = texts.groupBy("text_hash").agg(F.min(F.struct("doc_id", "source", "n_tokens")).alias("d")).select("d.*")
+    have = texts.groupBy("source").agg(F.sum("n_tokens").alias("have"))
+    allowed = t.where("max_repeats > 0").join(have, "source")
+    allowed = allowed.agg((F.min(F.col("have") * F.col("max_repeats") / F.col("target_share")) * F.sum("target_share")).alias("allowed"), F.count("*").alias("n"))
+
+    held = sizes.select("doc_id", "text_hash", F.struct(norm_key(F.col("source")).alias("source"), "n_tokens").alias("held"))
+    rows = merge_join(mixed, held, "doc_id", "left").withColumn("true", F.struct("source", "n_tokens").eqNullSafe(F.col("held")))
+    used = rows.groupBy("text_hash").agg(F.sum("repeats").alias("uses"), F.min("true").alias("true"), F.collect_set("source").alias("sources"))
+    used = used.select(F.explode("sources").alias("source"), "uses", "true").groupBy("source").agg(F.max("uses").alias("uses"), F.min("true").alias("true"))
+
+    stray = mixed.join(t, "source", "left_anti").agg(F.count("*").alias("stray"))
+    report = mixing.share_report(mixed, targets).withColumn("total", F.sum("tokens").over(Window.partitionBy()))
+    near = F.abs(F.col("share_reached") - F.col("target_share")) <= 0.01 + F.try_divide(F.lit(2 * mixing.BLOCK_TOKENS), F.col("allowed"))
+    whole = F.col("total") >= 0.99 * F.col("allowed") - (F.col("n") + 1) * mixing.BLOCK_TOKENS
+    within = (F.col("stray") == 0) & (F.col("uses").isNull() | F.col("true") & (F.col("uses") <= F.col("max_repeats")))
+    report = report.join(F.broadcast(used), "source", "left").crossJoin(F.broadcast(allowed)).crossJoin(F.broadcast(stray))
+    return report.select("source", F.coalesce(near & whole, F.lit(False)).alias("near"), F.coalesce(within, F.lit(False)).alias("within"))
+
+
+def _mix_sizes(spark, d):
+    docs = table(spark, d, "documents").withColumn("text_hash", F.md5("text"))
+    return with_token_counts(docs, ["doc_id", "source", "text_hash"])
 
 
 def p9_mix(spark, d):
-    docs = table(spark, d, "documents").withColumn("text_hash", F.md5("text"))
-    sizes = with_token_counts(docs, ["doc_id", "source", "text_hash"])
-    return mixing.mix(sizes, table(spark, d, "mix_targets"))
+    return mixing.mix(_mix_sizes(spark, d), table(spark, d, "mix_targets"))
 
 
 def p9_shares(spark, d):
