@@ -179,25 +179,27 @@ def furniture(lines: DataFrame, scratch: Scratch) -> DataFrame:
 _BLOCK = 1000
 
 
-def running_lines(lines: DataFrame, noise: DataFrame) -> DataFrame:
+def running_lines(lines: DataFrame, noise: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """Lines of the running text with the line that follows, on the same page or on the next one that has any.
 
     The next page is found inside blocks of _BLOCK page numbers, and beyond a block's end as the first one of the next block
     that holds any, so a document of any length makes no large window.
     """
-    run = merge_join(lines, noise, ["page_id", "line_no"], "left_anti").select("page_id", "doc", "page", "line_no", "line")
+    # lines are shuffled once: those of one page meet their noise and their neighbours in the same partition
+    out = noise.groupBy("page_id").agg(F.collect_set("line_no").alias("out"))
+    run = merge_join(lines.select("page_id", "doc", "page", "line_no", "line"), out, "page_id", "left").where("out is null or not array_contains(out, line_no)").drop("out")
     w = Window.partitionBy("page_id").orderBy("line_no")
     run = run.withColumn("after", F.lead(F.struct(F.col("page_id").alias("page_id"), "line_no", "line")).over(w))
+    run = scratch.stage(run, "followed") if scratch else run
     head = run.where("page is not null").groupBy("doc", "page").agg(F.min(F.struct("page_id", "line_no", "line")).alias("head")).withColumn("block", F.floor(F.col("page") / _BLOCK))
     inside = head.withColumn("ahead", F.lead("head").over(Window.partitionBy("doc", "block").orderBy("page")))
     blocks = head.groupBy("doc", "block").agg(F.min_by("head", "page").alias("first"))
     blocks = blocks.withColumn("beyond", F.lead("first").over(Window.partitionBy("doc").orderBy("block"))).drop("first")
     ahead = merge_join(inside, blocks, ["doc", "block"]).select("doc", "page", F.coalesce("ahead", "beyond").alias("ahead"))
-    ends = run.where("after is null").select("page_id", "line_no", "doc", "page")
-    ends = merge_join(ends, ahead, ["doc", "page"]).select("page_id", "line_no", "ahead")
-    return merge_join(run, ends.dropDuplicates(["page_id", "line_no"]), ["page_id", "line_no"], "left").select(
-        "page_id", "doc", "page", "line_no", "line", F.coalesce("after", "ahead").alias("next")
-    )
+    # only the last line of a page is joined with the next page
+    ends = merge_join(run.where("after is null"), ahead, ["doc", "page"], "left")
+    columns = ["page_id", "doc", "page", "line_no", "line"]
+    return run.where("after is not null").select(*columns, F.col("after").alias("next")).unionByName(ends.select(*columns, F.col("ahead").alias("next")))
 
 
 _OUTER = r"^[.,;:()\[\]\"']+|[.,;:()\[\]\"']+$"
@@ -546,11 +548,56 @@ def _misread_words(batches):
         yield pd.DataFrame(rows, columns=[*_ASKED, "common"])
 
 
-def _nearest(words: DataFrame, scratch: Scratch) -> DataFrame:
-    """(id, near): for each of words(id, token) the three others that share the most positional q-grams with it."""
-    grams = scratch.stage(_gram_rows(words, 3, False).select("id", "gram", "at"), "grams")
-    met = merge_join(grams, grams.withColumnRenamed("id", "near"), ["gram", "at"]).where("id <> near").groupBy("id", "near").agg(F.count("*").alias("shared"))
-    order = Window.partitionBy("id").orderBy(F.desc("shared"), F.xxhash64("near"), "near")
+#: Words of one block, of which every pair is compared in one task.
+_WORDS = 20_000
+
+
+def _three_nearest(words: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+    """(id, near, shared, tie): for each of words(id, w) the three of others(id, w, tie) with the most positional trigrams in common."""
+    others = others.sort_values(["tie", "id"], kind="stable")
+    places: dict[tuple[str, int], list[int]] = {}
+    for k, w in enumerate(others["w"]):
+        for i in range(max(len(w) - 2, 1)):
+            places.setdefault((w[i : i + 3], i), []).append(k)
+    held = {g: np.array(at) for g, at in places.items()}
+    ids, ties = others["id"].to_numpy(), others["tie"].to_numpy()
+    own = {x: k for k, x in enumerate(ids)}
+    rows, found, counts = [], [], []
+    for no, (x, w) in enumerate(zip(words["id"], words["w"], strict=True)):
+        hits = [held[g] for g in ((w[i : i + 3], i) for i in range(max(len(w) - 2, 1))) if g in held]
+        if not hits:
+            continue
+        shared = np.bincount(np.concatenate(hits), minlength=1)
+        if own.get(x, len(shared)) < len(shared):
+            shared[own[x]] = 0
+        level, left = int(shared.max()), 3
+        while level > 0 and left > 0:
+            at = np.flatnonzero(shared == level)[:left]
+            rows.append(np.full(len(at), no))
+            found.append(at)
+            counts.append(np.full(len(at), level))
+            left -= len(at)
+            level -= 1
+    if not rows:
+        return pd.DataFrame({"id": [], "near": [], "shared": [], "tie": []}, dtype=np.int64)
+    at = np.concatenate(found)
+    return pd.DataFrame({"id": words["id"].to_numpy()[np.concatenate(rows)], "near": ids[at], "shared": np.concatenate(counts), "tie": ties[at]})
+
+
+def _nearest(words: DataFrame, scratch: Scratch, size: int = _WORDS) -> DataFrame:
+    """(id, near): for each of words(id, token) the three others that share the most positional q-grams with it.
+
+    Every pair of words is compared, in blocks: what is written grows with the words times the number of blocks, and no pair
+    is written that is not among the three best of its block.
+    """
+    blocks = max(1, math.ceil(words.count() / size))
+    base = words.where("length(token) >= 2").select("id", F.concat(F.lit("^"), F.lower("token"), F.lit("$")).alias("w"), F.xxhash64("id").alias("tie"))
+    base = scratch.stage(base.withColumn("b", F.pmod("tie", F.lit(blocks)).cast("int")), "lowered")
+    every = F.sequence(F.lit(0), F.lit(blocks - 1))
+    left = base.select("id", "w", F.col("b").alias("i"), F.explode(every).alias("j")).repartition(blocks * blocks, "i", "j")
+    right = base.select("id", "w", "tie", F.explode(every).alias("i"), F.col("b").alias("j")).repartition(blocks * blocks, "i", "j")
+    met = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(_three_nearest, "id long, near long, shared long, tie long")
+    order = Window.partitionBy("id").orderBy(F.desc("shared"), "tie", "near")
     return met.withColumn("place", F.row_number().over(order)).where("place <= 3").select("id", "near")
 
 
@@ -685,7 +732,8 @@ def page_noise(pages: DataFrame) -> DataFrame:
 def _parts(pages: DataFrame, scratch: Scratch) -> dict[str, DataFrame]:
     lines = scratch.stage(page_lines(pages), "lines")
     edge = scratch.stage(furniture(lines, scratch), "furniture")
-    run = scratch.stage(running_lines(lines, edge), "running")
+    with Scratch() as brief:
+        run = scratch.stage(running_lines(lines, edge, brief), "running")
     cut = scratch.stage(broken_words(run, scratch), "broken")
     tokens = scratch.stage(tokens_of(run, cut), "tokens")
     types = scratch.stage(tokens.groupBy("doc", "token").agg(F.count("*").alias("n")), "types")
