@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from gridloom.functions.text import approx_equal, is_abstention, normalize_name, parse_numbers, set_f1, yes_no
+from gridloom.session import Stage
 
 
 def labels(items: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -52,17 +54,84 @@ def alias_index(aliases: DataFrame, ambiguous: DataFrame | None = None) -> DataF
     return one
 
 
+def _window_hashes(tokens: list[str], longest: int):
+    """For n from 1 to longest the hashes of the windows of n tokens, by the place of their first one."""
+    each = pd.util.hash_array(np.array(tokens, dtype=object))
+    total, by = np.zeros(len(each), np.uint64), 1
+    for n in range(1, longest + 1):
+        by = by * int(_ODD) % (1 << 64)
+        total = total[: len(each) - n + 1] + each[n - 1 :] * np.uint64(by)
+        yield n, total
+
+
+_ODD, _OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+#: Bits per alias of the filter, at most 2 ** 28 in all (32 MB); bits of one row when it is gathered.
+_BITS, _MOST, _ROW = 64, 28, 65_536
+
+
+def _probes(hashes: np.ndarray, power: int) -> tuple[np.ndarray, np.ndarray]:
+    shift = np.uint64(64 - power)
+    return tuple(((hashes ^ hashes >> np.uint64(31)) * f >> shift).astype(np.int64) for f in (_ODD, _OTHER))
+
+
+def _alias_filter(index: DataFrame) -> tuple[np.ndarray, int]:
+    """Bits that every alias sets and few other word windows find set, and the power of two of their number."""
+    power = int(min(_MOST, max(16, np.ceil(np.log2(_BITS * max(1, index.count()))))))
+
+    def places(batches):
+        for p in batches:
+            split = [alias.split(" ") for alias in p["alias"]]
+            sizes = np.array([len(t) for t in split], np.int64)
+            start, at = np.cumsum(sizes) - sizes, [np.zeros(0, np.int64)]
+            for n, hashes in _window_hashes([t for ts in split for t in ts], int(sizes.max(initial=0))):
+                at += _probes(hashes[start[sizes == n]], power)
+            at = np.concatenate(at)
+            yield pd.DataFrame({"row": at // _ROW, "bit": at % _ROW}).drop_duplicates()
+
+    def packed(p: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(_ROW, bool)
+        bits[p["bit"].to_numpy()] = True
+        return pd.DataFrame({"row": [p["row"].iat[0]], "bits": [np.packbits(bits).tobytes()]})
+
+    held = np.zeros(1 << power, bool)
+    for r in index.select("alias").mapInPandas(places, "row long, bit long").groupBy("row").applyInPandas(packed, "row long, bits binary").collect():
+        held[r["row"] * _ROW : (r["row"] + 1) * _ROW] = np.unpackbits(np.frombuffer(r["bits"], np.uint8)).astype(bool)
+    return np.packbits(held), power
+
+
 def recognise(texts: DataFrame, index: DataFrame) -> DataFrame:
     """(id, entities): entities named in each text, left to right, longest alias first, whole words, each once.
 
-    Word windows as long as some alias is meet the index in an equality join; the greedy choice without overlap is then made
-    per text over its hits.
+    Word windows as long as some alias is meet the index in an equality join; only those that pass a filter of bits set by all
+    aliases are written for it. The greedy choice without overlap is then made per text over its hits.
     """
-    lengths = sorted(r[0] for r in index.select(F.size(F.split("alias", " ")).alias("n")).distinct().collect())  # words of a name
-    toks = F.filter(F.split(normalize_name(F.col("text")), " "), lambda t: t != "")
-    base = texts.select("id", toks.alias("ts"))
-    spans = F.flatten(F.transform(F.sequence(F.lit(1), F.size("ts")), lambda i: F.transform(F.filter(F.array(*[F.lit(k) for k in lengths]).cast("array<int>"), lambda k: k <= F.size("ts") - i + 1), lambda n: F.struct(i.alias("at"), n.alias("n"), F.array_join(F.slice("ts", i, n), " ").alias("alias")))))
-    hits = base.where(F.size("ts") > 0).select("id", F.inline(spans)).join(index, "alias").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", (-F.col("n")).alias("m"), "entity"))).alias("hits"))
+    index = Stage(index, "aliases").df
+    lengths = {r[0] for r in index.select(F.size(F.split("alias", " ")).alias("n")).distinct().collect()}  # words of a name
+    sent = texts.sparkSession.sparkContext.broadcast(_alias_filter(index))
+    longest = max(lengths, default=0)
+
+    def windows(batches):
+        bits, power = sent.value
+        for p in batches:
+            # texts of about a million letters at once
+            for _, part in p.groupby(p["text"].str.len().cumsum() // 1_000_000, sort=False):
+                split = [t.split() for t in part["text"]]
+                sizes, tokens = np.array([len(t) for t in split], np.int64), [t for ts in split for t in ts]
+                if not tokens:
+                    continue
+                text, start = np.repeat(np.arange(len(split)), sizes), np.repeat(np.cumsum(sizes) - sizes, sizes)
+                for n, hashes in _window_hashes(tokens, min(longest, int(sizes.max()))):
+                    if n not in lengths:
+                        continue
+                    a, b = _probes(hashes, power)
+                    at = np.flatnonzero((bits[a >> 3] >> (7 - (a & 7)) & 1) & (bits[b >> 3] >> (7 - (b & 7)) & 1) & (text[: len(a)] == text[n - 1 :]))
+                    if len(at):
+                        yield pd.DataFrame({"id": part["id"].to_numpy()[text[at]], "at": at - start[at] + 1, "n": n, "alias": [" ".join(tokens[k : k + n]) for k in at]})
+
+    named = texts.where("id is not null").select("id", normalize_name(F.col("text")).alias("text"))
+    kind = named.schema["id"].dataType.simpleString()
+    found = named.mapInPandas(windows, f"id {kind}, at int, n int, alias string")
+    hits = found.join(index, "alias").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", (-F.col("n")).alias("m"), "entity"))).alias("hits"))
 
     @F.pandas_udf(ArrayType(StringType()))
     def greedy(column: pd.Series) -> pd.Series:
